@@ -15,6 +15,18 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import digests
+
+    return digests(documents(shipped(spark), sf_dir))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.linededup import digests
+
+    return digests(documents(shipped(spark), sf_dir))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.fingerprint import compare_next
 
@@ -38,4 +50,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from siltstone.llm import linededup
+
+    return {"op5_line_dedup": linededup.ORACLE_SQL}
