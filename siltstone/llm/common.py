@@ -107,7 +107,7 @@ def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def fold(column: Column | str, div: int) -> Column:
     """crc32 of an id as text modulo `div`: the folds of the held-out contracts."""
-    return F.pmod(F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary")), F.lit(div))
+    return F.pmod(F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary")), F.lit(div))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(shipped(spark), sf_dir))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ppm import scores
+
+    return scores(documents(shipped(spark), sf_dir))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.fingerprint import compare_next
 
