@@ -15,6 +15,12 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.langid import digests
+
+    return digests(documents(shipped(spark), sf_dir))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mixing import digests
 
