@@ -27,6 +27,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(shipped(spark), sf_dir))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.toxicity import digests
+
+    return digests(documents(shipped(spark), sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.linededup import digests
 
