@@ -1,9 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark whole documents, so tokens are labelled first: in documents marked
-toxic, a token is labelled toxic when its word's share of toxic documents is far
-beyond chance (log-odds over its standard error above EVIDENCE); all others are
-not.  A two-state chain over each sentence is fitted to these labelled tokens,
+toxic, a token is labelled toxic when its word, beginning or end stands in toxic
+documents far beyond chance; all others are not.  A two-state chain over each sentence is fitted to these labelled tokens,
 with hashed features of a token (its word, its first 3, 4 and 5 letters, its last
 4, whether it is in capitals) and transition weights, by gradient ascent on the
 conditional likelihood.
@@ -13,7 +12,7 @@ is the sum of its tokens' marginals beyond FLOOR and the largest one; a logistic
 curve in the two, fitted on the documents' labels, gives the score.  `spans`
 returns the offsets in code points of runs of offending tokens.
 
-Words are runs of letters, case-folded by ASCII; a sentence ends at . ! ? or a
+Words are runs of letters, case-folded within ASCII and Latin-1; a sentence ends at . ! ? or a
 line feed.  All sentences of a batch are run through at once, so the number of
 steps is the longest sentence's length.
 
@@ -35,11 +34,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import GOLD, LOWER, fold, mix, slices, spans_hash, utf8
 
-SAMPLE, SAMPLE_TOKENS = 1500, 4_000_000
-FEATURE_BITS, EVIDENCE, FLOOR, OFFENDING = 18, 4.0, 0.05, 0.5
-STEPS, RATE, RIDGE = 60, 0.5, 1e-4
+SAMPLE, SAMPLE_TOKENS = 1000, 2_000_000
+FEATURE_BITS, EVIDENCE, PRECISION, FLOOR, OFFENDING = 18, 16.0, 0.8, 0.3, 0.5
+STEPS, RATE, RIDGE = 40, 0.5, 1e-4
 PREFIXES, SUFFIX = (3, 4, 5), 4
 _U, _I = np.uint64, np.int64
+_SALT = mix(np.arange(1, 10, dtype=_U) * GOLD)
 _letter = np.zeros(256, bool)
 _letter[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _stop = np.zeros(256, bool)
@@ -63,14 +63,18 @@ class Tokens:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.row = np.searchsorted(offs, self.start, "right") - 1
         low = LOWER[data]
+        # Capitals of Latin-1 in UTF-8: C3 80 to C3 9E, without the multiplication sign.
+        wide = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)) + 1
+        low[wide] += 32
         n = self.end - self.start
         self.word = spans_hash(low, self.start, self.end)
         salts = [self.word]
         for k, m in enumerate(PREFIXES):
-            salts.append(np.where(n > m, spans_hash(low, self.start, np.minimum(self.start + m, self.end)) + _U(k + 1) * GOLD, _U(k + 1)))
-        salts.append(np.where(n > SUFFIX, spans_hash(low, np.maximum(self.end - SUFFIX, self.start), self.end) + _U(9) * GOLD, _U(9)))
+            salts.append(np.where(n > m, spans_hash(low, self.start, np.minimum(self.start + m, self.end)) ^ _SALT[k], _SALT[k]))
+        salts.append(np.where(n > SUFFIX, spans_hash(low, np.maximum(self.end - SUFFIX, self.start), self.end) ^ _SALT[-1], _SALT[-1]))
         caps = np.concatenate(([0], np.cumsum(_upper[data])))
         salts.append((caps[self.end] - caps[self.start] == n).astype(_U) + _U(77))
+        salts.append(np.full(len(n), _U(99)))
         self.features = (mix(np.stack(salts, 1)) >> _U(64 - FEATURE_BITS)).astype(np.int32)
         stops = np.concatenate(([0], np.cumsum(_stop[data])))
         broken = np.ones(len(self.start), bool)
@@ -139,16 +143,27 @@ def fit_chain(features: np.ndarray, heads: np.ndarray, tags: np.ndarray, steps:
     return w.astype(np.float32), trans
 
 
-def toxic_words(word: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Words whose share of toxic documents is beyond chance."""
-    pair = np.unique(np.stack((word, row.astype(_U)), 1), axis=0)
-    words, back = np.unique(pair[:, 0], return_inverse=True)
-    hit = np.bincount(back, toxic[pair[:, 1].astype(_I)], len(words))
-    miss = np.bincount(back, 1 - toxic[pair[:, 1].astype(_I)], len(words))
+def telling(mark: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Values of a feature that stand in toxic documents far beyond chance: the
+    likelihood ratio statistic above EVIDENCE and, with both labels weighing
+    alike, a share of toxic documents above PRECISION."""
+    pair = np.unique(np.stack((mark.astype(_U), row.astype(_U)), 1), axis=0)
+    values, back = np.unique(pair[:, 0], return_inverse=True)
+    hit = np.bincount(back, toxic[pair[:, 1].astype(_I)], len(values))
+    miss = np.bincount(back, 1 - toxic[pair[:, 1].astype(_I)], len(values))
     yes, no = toxic.sum(), (1 - toxic).sum()
-    odds = np.log((hit + 0.5) / (yes - hit + 0.5)) - np.log((miss + 0.5) / (no - miss + 0.5))
-    error = np.sqrt(1 / (hit + 0.5) + 1 / (miss + 0.5))
-    return words[odds / error > EVIDENCE]
+    share = yes / (yes + no)
+    ratio = sum(2 * x * np.log(np.maximum(x, 1e-9) / ((hit + miss) * s)) for x, s in ((hit, share), (miss, 1 - share)))
+    precise = hit / yes > PRECISION * (hit / yes + miss / no)
+    return values[precise & (ratio > EVIDENCE)]
+
+
+def token_tags(word: np.ndarray, features: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """1 for tokens of toxic documents whose word, beginning or end is telling."""
+    hit = np.isin(word, telling(word, row, toxic))
+    for k in range(1, 2 + len(PREFIXES)):
+        hit |= np.isin(features[:, k], telling(features[:, k], row, toxic).astype(np.int32))
+    return (hit & (toxic[row] > 0)).astype(np.int64)
 
 
 def evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
@@ -226,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     row = np.repeat(np.arange(len(kept)), [len(r[2]) for r in kept])
     if not len(word):
         return zero
-    tags = (np.isin(word, toxic_words(word, row, toxic)) & (toxic[row] > 0)).astype(np.int64)
+    tags = token_tags(word, features, row, toxic)
     weights, trans = fit_chain(features, heads, tags)
     model = Model(weights, trans, None)
     p = Chains(heads, len(word)).marginals(weights[features].sum(1), trans)[0]
