@@ -1,11 +1,13 @@
 """BPE encoding by content-defined chunk reuse.
 
-A text is cut where a rolling hash of the four characters before a blank meets
+A text is cut at blanks where a rolling hash of the four characters before meets
 a mask, so equal passages are cut alike wherever they stand.  A chunk is encoded
-once by the tokenizers library and reused for every document that holds it (a
-bounded table per Python worker, kept between tasks).  A run without any blank
-is cut by the same hash inside the run; there, two neighbours are re-encoded
-together and merged until the pieces agree exactly with the joint encoding.
+once and reused for every document that holds it; so are, one scale down, the
+pieces between blanks of a chunk not met before.  The tables are of bounded size,
+one pair per Python worker, kept between tasks; the older half goes when full.
+A run without any blank is cut by the same hash inside the run; there, two
+neighbours are re-encoded together and merged until the pieces agree exactly with
+the joint encoding.
 
 Cuts at a blank agree by construction: no token, contraction, special token or
 composed character of this vocabulary spans a blank that starts a chunk, and the
@@ -31,11 +33,15 @@ from pyspark.sql import types as T
 
 from siltstone.llm.common import slices
 
-#: Chunks that a worker keeps, and the longest kept, in characters.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 64
+#: Pieces and chunks that a worker keeps in each of two halves, and the longest kept, in characters.
+KEPT_PIECES, KEPT_CHUNKS = 400_000, 20_000
+PIECE_CHARS, CHUNK_CHARS = 48, 1024
 #: Characters of a run without blanks from which it is cut inside.
 LONG_RUN = 4096
-_MASK_BLANK, _MASK_RUN = np.uint32(3), np.uint32(0x3FF)
+_MASK_BLANK, _MASK_RUN = np.uint32(31), np.uint32(0x3FF)
+
+
+_LOWER = bytes(c + 32 * (ord("A") <= c <= ord("Z")) for c in range(256))
 
 
 def _rolling(code: np.ndarray) -> np.ndarray:
@@ -52,7 +58,7 @@ def cut_points(text: str) -> tuple[list[int], set[int]]:
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = (code == 32) | (code == 10)
     h = _rolling(code)
-    at = np.flatnonzero(blank & ((h & _MASK_BLANK) != 0))
+    at = np.flatnonzero(blank & ((h & _MASK_BLANK) == 0))
     runs, inner = np.diff(np.concatenate(([0], np.flatnonzero(blank), [len(code)]))), set()
     if len(runs) and runs.max() > LONG_RUN:
         edges = np.concatenate(([0], np.flatnonzero(blank), [len(code)]))
@@ -64,47 +70,77 @@ def cut_points(text: str) -> tuple[list[int], set[int]]:
     return [0, *(x for x in cuts if x), len(code)], inner
 
 
+class Halves:
+    """Table of bounded size; what was used since the last change of halves stays."""
+
+    def __init__(self, kept: int):
+        self.kept, self.new, self.old = kept, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(self.new) >= self.kept:
+            self.old, self.new = self.new, {}
+        self.new[key] = ids
+
+
 class ChunkEncoder:
     """Ids of whole texts, through chunks that are encoded once."""
 
-    def __init__(self, vocabulary: str, kept: int = KEPT_CHUNKS):
+    def __init__(self, vocabulary: str, pieces: int = KEPT_PIECES, chunks: int = KEPT_CHUNKS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kept, self.table = kept, {}
+        self.pieces, self.chunks = Halves(pieces), Halves(chunks)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)")
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of what stands between two blanks."""
+        if not piece:
+            return b""
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if piece[-1] in ",." and piece[:-1].isalpha():
+                # Letters and a mark that follows them are always two pre-tokens.
+                ids = self.piece(piece[:-1]) + self.piece(piece[-1])
+            else:
+                ids = self.direct(piece)
+            if len(piece) <= PIECE_CHARS:
+                self.pieces.put(piece, ids)
+        return ids
+
     def chunk(self, chunk: str) -> bytes:
-        ids = self.table.get(chunk)
+        ids = self.chunks.get(chunk)
         if ids is None:
-            ids = self.direct(chunk)
-            if len(chunk) <= KEPT_CHARS:
-                if len(self.table) >= self.kept:
-                    self.table.clear()
-                self.table[chunk] = ids
+            parts = chunk.replace("\n", " ").split(" ")
+            ready = self.pieces.new.get
+            ids = b"".join([ready(p) or self.piece(p) for p in parts])
+            if len(chunk) <= CHUNK_CHARS:
+                self.chunks.put(chunk, ids)
         return ids
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
+        if "<|" not in text:
+            # The vocabulary is lower case; only special tokens are found before that.
+            text = text.encode("utf-8", "surrogatepass").translate(_LOWER).decode("utf-8", "surrogatepass")
         cuts, inner = cut_points(text)
-        parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         if inner:
             # A special token's string is found before all else: no cut inside one.
             within = {c for m in self.special.finditer(text) for c in range(m.start() + 1, m.end())}
             cuts = [c for c in cuts if c not in within or c not in inner]
-            parts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-            return self._repaired(parts, [c in inner for c in cuts[1:-1]])
-        get = self.table.get
-        found = [get(p) for p in parts]
-        if None in found:
-            found = [self.chunk(p) if f is None else f for p, f in zip(parts, found, strict=True)]
-        return b"".join(found)
+            return self._repaired([text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], [c in inner for c in cuts[1:-1]])
+        return b"".join([self.chunk(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def _repaired(self, parts: list[str], unsure: list[bool]) -> bytes:
         """Join from the left; at an unsure join, take both sides together until

@@ -29,7 +29,7 @@ def test_digests_equal_the_library(docs, empty, library):
 def test_odd_texts_and_unbroken_runs(library, monkeypatch):
     monkeypatch.setattr(bpe, "LONG_RUN", 20)
     monkeypatch.setattr(bpe, "_MASK_RUN", bpe.np.uint32(3))
-    enc, r = bpe.ChunkEncoder(VOCABULARY, kept=500), random.Random(1)
+    enc, r = bpe.ChunkEncoder(VOCABULARY, pieces=50, chunks=5), random.Random(1)
     alphabet = "aabcdEFs'tvrel!?.#09 \n\t  é́ßİΣς中文😀" + "<|>"
     for _ in range(1500):
         t = "".join(r.choice(alphabet) for _ in range(r.randrange(90)))
