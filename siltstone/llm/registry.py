@@ -27,6 +27,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(shipped(spark), sf_dir))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.neardup import digests
+
+    return digests(documents(shipped(spark), sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.toxicity import digests
 
@@ -51,6 +57,12 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_next(documents(shipped(spark), sf_dir))
 
 
+def op8_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.quotes import linked
+
+    return linked(shipped(spark).read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.quality import verdicts
 
@@ -68,6 +80,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from siltstone.llm import linededup
+    from siltstone.llm import linededup, quotes
 
-    return {"op5_line_dedup": linededup.ORACLE_SQL}
+    return {"op5_line_dedup": linededup.ORACLE_SQL, "op8_quotes": quotes.ORACLE_SQL}
