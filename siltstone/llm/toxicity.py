@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels mark whole documents, so tokens are labelled first: in documents marked
-toxic, a token is labelled toxic when its word, beginning or end stands in toxic
-documents far beyond chance; all others are not.  A two-state chain over each sentence is fitted to these labelled tokens,
+toxic, a token is labelled toxic when its word or its beginning stands in toxic
+documents far beyond chance, in many contexts; all others are not.  A two-state chain over each sentence is fitted to these labelled tokens,
 with hashed features of a token (its word, its first 3, 4 and 5 letters, its last
 4, whether it is in capitals) and transition weights, by gradient ascent on the
 conditional likelihood.
@@ -35,9 +35,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import GOLD, LOWER, fold, mix, slices, spans_hash, utf8
 
 SAMPLE, SAMPLE_TOKENS = 1000, 2_000_000
-FEATURE_BITS, EVIDENCE, PRECISION, FLOOR, OFFENDING = 18, 16.0, 0.8, 0.3, 0.5
+FEATURE_BITS, EVIDENCE, PRECISION, FLOOR, OFFENDING = 18, 16.0, 0.9, 0.3, 0.5
 STEPS, RATE, RIDGE = 40, 0.5, 1e-4
-PREFIXES, SUFFIX = (3, 4, 5), 4
+PREFIXES, SUFFIX, TELLING = (3, 4, 5), 4, (4, 5)
 _U, _I = np.uint64, np.int64
 _SALT = mix(np.arange(1, 10, dtype=_U) * GOLD)
 _letter = np.zeros(256, bool)
@@ -143,27 +143,42 @@ def fit_chain(features: np.ndarray, heads: np.ndarray, tags: np.ndarray, steps:
     return w.astype(np.float32), trans
 
 
-def telling(mark: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _contexts(mark: np.ndarray, beside: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values of a feature, and in how many contexts each stands in toxic and in
+    other documents."""
+    key = mix(mark.astype(_U) * GOLD + mix(beside)) & ~_U(1) | toxic.astype(_U)
+    at = np.unique(key, return_index=True)[1]
+    values, back = np.unique(mark[at], return_inverse=True)
+    return values, np.bincount(back, toxic[at], len(values)), np.bincount(back, 1 - toxic[at], len(values))
+
+
+def telling(mark: np.ndarray, before: np.ndarray, after: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Values of a feature that stand in toxic documents far beyond chance: the
     likelihood ratio statistic above EVIDENCE and, with both labels weighing
-    alike, a share of toxic documents above PRECISION."""
-    pair = np.unique(np.stack((mark.astype(_U), row.astype(_U)), 1), axis=0)
-    values, back = np.unique(pair[:, 0], return_inverse=True)
-    hit = np.bincount(back, toxic[pair[:, 1].astype(_I)], len(values))
-    miss = np.bincount(back, 1 - toxic[pair[:, 1].astype(_I)], len(values))
-    yes, no = toxic.sum(), (1 - toxic).sum()
+    alike, a share in toxic documents above PRECISION.  What counts are different
+    words before and different words after, whichever are fewer, and not
+    documents; so copies of one document, near ones too, are little evidence."""
+    values, hit, miss = _contexts(mark, before, toxic)
+    _, hit_after, miss_after = _contexts(mark, after, toxic)
+    yes, no = max(1.0, hit.sum()), max(1.0, miss.sum())
+    hit, miss = np.minimum(hit, hit_after), np.maximum(miss, miss_after)
     share = yes / (yes + no)
-    ratio = sum(2 * x * np.log(np.maximum(x, 1e-9) / ((hit + miss) * s)) for x, s in ((hit, share), (miss, 1 - share)))
+    ratio = sum(2 * x * np.log(np.maximum(x, 1e-9) / np.maximum((hit + miss) * s, 1e-9)) for x, s in ((hit, share), (miss, 1 - share)))
     precise = hit / yes > PRECISION * (hit / yes + miss / no)
     return values[precise & (ratio > EVIDENCE)]
 
 
 def token_tags(word: np.ndarray, features: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for tokens of toxic documents whose word, beginning or end is telling."""
-    hit = np.isin(word, telling(word, row, toxic))
-    for k in range(1, 2 + len(PREFIXES)):
-        hit |= np.isin(features[:, k], telling(features[:, k], row, toxic).astype(np.int32))
-    return (hit & (toxic[row] > 0)).astype(np.int64)
+    """1 for tokens of toxic documents whose word or beginning of TELLING letters is
+    telling; shorter beginnings and ends are features of the chain, no evidence."""
+    label = toxic[row].astype(np.int64)
+    side = np.concatenate(([0], word, [0])).astype(_U)
+    same = np.concatenate(([False], row[1:] == row[:-1], [False]))
+    before, after = np.where(same[:-1], side[:-2], _U(0)), np.where(same[1:], side[2:], _U(0))
+    hit = np.isin(word, telling(word, before, after, label))
+    for k in (1 + PREFIXES.index(m) for m in TELLING):
+        hit |= np.isin(features[:, k], telling(features[:, k], before, after, label))
+    return (hit & (label > 0)).astype(np.int64)
 
 
 def evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
