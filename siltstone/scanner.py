@@ -9,6 +9,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.control import limited
 from siltstone.operators import content as content_ops
 from siltstone.operators import limits, report, select, watch
 from siltstone.operators.report import ScanReport
@@ -49,6 +50,19 @@ class Scanner:
         return out.orderBy("relative") if self.options.max_entries is None else limits.entry_limit(out, self.options.max_entries)
 
     def scan(self, cache: DataFrame | None = None) -> ScanReport:
+        """The report.  One that a timeout or a token ended is incomplete and
+        empty: partial results of tasks aren't kept."""
+        o = self.options
+        if o.timeout_seconds is None and o.cancellation is None:
+            return self._scan(cache)
+        done, ended = limited(self.spark, lambda: self._scan(cache), o.timeout_seconds, o.cancellation)
+        if done is not None:
+            return done
+        files = self.spark.createDataFrame([], "absolute string, relative string, bytes long, version struct<modified_ns:bigint,changed_ns:bigint,identity:string>, content_hash string, content_fingerprint string, binary_checked boolean")
+        skipped = self.spark.createDataFrame([], "relative string, kind string, detail string")
+        return ScanReport(files, skipped, (), (), o.descriptor(), os.path.realpath(self.root), False, ended, True)
+
+    def _scan(self, cache: DataFrame | None) -> ScanReport:
         o = self.options
         classified, rules, portable, complete = self._classified()
         ended = None
