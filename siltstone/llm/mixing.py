@@ -4,8 +4,10 @@ A source that should give r times its words takes floor(r) copies of each of its
 documents and one more with probability r - floor(r).  The fractional parts are
 rounded jointly: of a pair of documents, words of probability mass move from one
 to the other, at random but unbiased, until one of the two is settled, and the
-sum of (size x probability) stays what it was.  So a source misses its target by
-less than one document.
+sum of (size x probability) stays what it was.  Larger documents are paired first,
+by powers of two of their sizes; what is left of a size is paired with all smaller
+documents taken as one, whose probabilities shift together.  So the last document
+left is a small one, and a source misses its target by less than its size.
 
 Documents are dealt to buckets by the hash of their id; a bucket is rounded on
 its own and leaves at most one unsettled document; those meet, FAN buckets at a
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,9 +100,35 @@ def pivotal(size: list[int], mass: list[float], seeds: list[int]) -> list[float]
     return out
 
 
+def rounded(size: np.ndarray, mass: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """`pivotal` over size classes from the largest down.  The one that a class
+    leaves is settled against all smaller documents together, where they can take
+    up its whole mass or give what it lacks; else it joins the next class."""
+    mass, kind = mass.astype(float), np.frexp(size.astype(float))[1]
+    held: list[int] = []
+    for k in sorted(set(kind.tolist()), reverse=True):
+        at = held + np.flatnonzero(kind == k).tolist()
+        mass[at] = pivotal(size[at].tolist(), mass[at].tolist(), seeds[at].tolist())
+        held = [i for i in at if 0.0 < mass[i] < size[i]]
+        rest = kind < k
+        total, room = float(mass[rest].sum()), float(size[rest].sum() - mass[rest].sum())
+        for i in held:
+            lacks, has = float(size[i] - mass[i]), float(mass[i])
+            if total <= lacks or room <= has:
+                continue
+            if _draw(int(seeds[i]) + 1 & 0xFFFFFFFFFFFFFFFF)[1] * size[i] < has:
+                mass[i], mass[rest] = size[i], mass[rest] * (1 - lacks / total)
+            else:
+                mass[i], mass[rest] = 0.0, size[rest] - (size[rest] - mass[rest]) * (1 - has / room)
+            held = []
+    return mass
+
+
 def _rounded(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["seed", "doc_id", "body", "nth"], kind="stable").reset_index(drop=True)
-    pdf["mass"] = pivotal(pdf["size"].tolist(), pdf["mass"].tolist(), pdf["seed"].tolist())
+    open_ = ((pdf["mass"] > 0) & (pdf["mass"] < pdf["size"])).to_numpy()
+    some = pdf[open_]
+    pdf.loc[open_, "mass"] = rounded(some["size"].to_numpy(), some["mass"].to_numpy(), some["seed"].to_numpy())
     return pdf
 
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from siltstone.llm import mixing
 
 
@@ -18,8 +21,9 @@ def brute_targets(size_by):
     return fixed
 
 
-def test_targets_and_takes(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BUCKET", 16)
+@pytest.mark.parametrize("bucket,miss", [(16, 200), (512, 40)])
+def test_targets_and_takes(spark, monkeypatch, bucket, miss):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
     monkeypatch.setattr(mixing, "FAN", 4)
     r = random.Random(4)
     rows = [(i, " ".join(["w"] * r.randrange(0, 200)), r.choice(["a", "b", "b", "b", "c", "z", "é", None]), "extra") for i in range(3000)]
@@ -37,7 +41,7 @@ def test_targets_and_takes(spark, monkeypatch):
         assert 0 <= x["taken"] <= 3 * x["size"] and x["taken"] == x["copies"] * x["size"]
         taken[x["source"]] = taken.get(x["source"], 0) + x["taken"]
     assert len(out) == len(rows)
-    assert all(abs(taken[s] - want[s]) <= 200 for s in want)
+    assert all(abs(taken[s] - want[s]) <= miss for s in want), {s: (taken[s], want[s]) for s in want}
     again = mixing.digests(df.repartition(7)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
     made = mixing.mixed(df)
@@ -56,6 +60,18 @@ def test_unbiased_pairs():
     assert abs(hits / n - 3) < 0.25
 
 
+def test_unbiased_classes():
+    size = np.array([900, 700, 40, 35, 30, 20, 9, 8, 5, 4, 3, 2, 1] + [10] * 60 + [60] * 20)
+    mass = 0.35 * size
+    total, hits = mass.sum(), np.zeros(len(size))
+    for i in range(3000):
+        out = mixing.rounded(size, mass, np.arange(len(size)) * 104729 + i * 7919)
+        assert abs(out.sum() - total) < 1e-6
+        assert ((out == 0) | (out == size)).sum() >= len(size) - 1
+        hits += out / size
+    assert np.abs(hits / 3000 - 0.35).max() < 0.05
+
+
 def test_empty(empty, docs):
     assert mixing.digests(empty).count() == 0
     assert mixing.digests(docs).count() == docs.count()
