@@ -19,6 +19,10 @@ from siltstone.sources import tree
 from siltstone.sources.repository import load_rules
 
 
+class FullRescanRequired(RuntimeError):
+    """A plan can't be followed path by path."""
+
+
 class Scanner:
     def __init__(self, spark: SparkSession, root: str, options: ScanOptions | None = None):
         self.spark, self.root, self.options = spark, root, options or ScanOptions()
@@ -124,17 +128,32 @@ class Scanner:
                 return False
         return True
 
+    def _chunks(self, files: DataFrame, chunk: int) -> DataFrame:
+        read = tree.read_contents(files, self.options.max_file_bytes, self.options.content_validation == "Strict")
+        return content_ops.chunks(read.where("content_status = 'Complete'"), "content", chunk)
+
     def visit_content(self, chunk: int = 65_536) -> DataFrame:
         """(relative, chunk_index, offset, bytes) of all selected files."""
-        done = self.scan()
-        read = tree.read_contents(done.files, self.options.max_file_bytes).where("content_status = 'Complete'")
-        return content_ops.chunks(read, "content", chunk)
+        return self._chunks(self.scan().files, chunk)
 
-    def visit_changed(self, plan: DataFrame, chunk: int = 65_536) -> DataFrame:
-        """The same for the paths that a plan says have changed."""
+    def visit_content_manifest(self, chunk: int = 65_536) -> tuple[DataFrame, ScanReport]:
+        """The same, with the report of the scan that it follows."""
         done = self.scan()
-        some = done.files.join(plan.where("action = 'changed'").select("relative"), "relative", "left_semi")
-        return content_ops.chunks(tree.read_contents(some, self.options.max_file_bytes).where("content_status = 'Complete'"), "content", chunk)
+        return self._chunks(done.files, chunk), done
+
+    def visit_changed(self, plan: DataFrame, full_rescan: bool = False, chunk: int = 65_536) -> tuple[DataFrame, list[str]]:
+        """Chunks of the paths that a plan (relative, action) says have changed,
+        and the removed paths in order.  Only these paths are read."""
+        if full_rescan or plan.where(~watch.is_safe_relative(F.col("relative"))).head(1):
+            raise FullRescanRequired(self.root)
+        touched = plan.where("action = 'changed'").select("relative")
+        entries = self._classified()[0].join(touched, "relative", "left_semi")
+        if entries.where("kind = 'dir'").head(1):
+            raise FullRescanRequired(self.root)
+        root = os.path.realpath(self.root)
+        files = select.selected(entries).select(F.concat(F.lit(root + "/"), "relative").alias("absolute"), "relative", "bytes")
+        removed = [r["relative"] for r in plan.where("action = 'removed'").select("relative").distinct().orderBy("relative").toLocalIterator()]
+        return self._chunks(files, chunk), removed
 
     def scan_watch_plan(self, previous: ScanReport, plan: DataFrame, full: bool = False) -> tuple[ScanReport, str]:
         """The report after a plan, and Incremental or the reason for a full scan."""
@@ -165,3 +184,18 @@ def scan_repository(spark: SparkSession, root: str, options: ScanOptions | None
 def scan_many(spark: SparkSession, roots: Iterable[str], options: ScanOptions | None = None) -> list[ScanReport]:
     """Reports of several roots, in the order given; the first error is raised."""
     return [scan_repository(spark, r, options) for r in roots]
+
+
+def visit_many(spark: SparkSession, roots: Iterable[str], options: ScanOptions | None = None, chunk: int = 65_536) -> DataFrame:
+    """Chunks of all roots, with root_index."""
+    each = [Scanner(spark, r, options).visit_content(chunk).withColumn("root_index", F.lit(i)) for i, r in enumerate(roots)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def totals(reports: Iterable[ScanReport]) -> dict:
+    """Files and bytes over several reports, and whether all are complete."""
+    rows = [(r, r.summary()) for r in reports]
+    return {"files": sum(s["selected_files"] for _, s in rows), "bytes": min(sum(s["selected_bytes"] for _, s in rows), 2**63 - 1), "complete": all(r.complete for r, _ in rows), "cancelled": any(r.termination == "Cancelled" for r, _ in rows)}

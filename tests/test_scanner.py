@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import delta, report, watch
 from siltstone.options import IgnorePolicy, ScanOptions, WalkOptions
-from siltstone.scanner import Scanner, scan_many
+from siltstone.scanner import FullRescanRequired, Scanner, scan_many, totals, visit_many
 from siltstone.session import ScanSession, StaleSnapshot
 from siltstone.sources import tree
 
@@ -141,7 +141,17 @@ def test_session_and_plans(spark, tmp_path):
 
 def test_many_roots_and_small_helpers(spark, tmp_path):
     a, b = make(tmp_path / "a", {"x": "1"}), make(tmp_path / "b", {"y": "22"})
-    assert [r.files.first()["relative"] for r in scan_many(spark, [a, b])] == ["x", "y"]
+    reports = scan_many(spark, [a, b])
+    assert [r.files.first()["relative"] for r in reports] == ["x", "y"]
+    assert totals(reports) == {"files": 2, "bytes": 3, "complete": True, "cancelled": False}
+    assert sorted((r["root_index"], bytes(r["bytes"])) for r in visit_many(spark, [a, b]).collect()) == [(0, b"1"), (1, b"22")]
+    plan = spark.createDataFrame([("y", "changed"), ("z", "removed"), ("a", "removed")], "relative string, action string")
+    parts, removed = Scanner(spark, b).visit_changed(plan)
+    assert [bytes(r["bytes"]) for r in parts.collect()] == [b"22"] and removed == ["a", "z"]
+    with pytest.raises(FullRescanRequired):
+        Scanner(spark, b).visit_changed(plan, full_rescan=True)
+    parts, done = Scanner(spark, b).visit_content_manifest()
+    assert parts.count() == 1 and done.complete
     notes = spark.createDataFrame([(1, "access", ["p"]), (2, "rename-both", ["a", "b"]), (3, "rename-both", ["a"]), (4, "remove-folder", ["d"]), (5, "modify-data", ["m"])], "seq long, notification string, paths array<string>")
     assert [tuple(r) for r in watch.from_notifications(notes).orderBy("seq").collect()] == [(4, "RenameFrom", "a"), (5, "RenameTo", "b"), (6, "Rescan", "a"), (8, "Rescan", "d"), (10, "Modify", "m")]
     known = spark.createDataFrame([("src/a",), ("src2",), ("src",), ("lib/x",)], "relative string")
