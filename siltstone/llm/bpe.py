@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import slices
+from siltstone.llm.common import lean, slices
 
 #: Pieces and chunks that a worker keeps in each of two halves, and the longest kept, in characters.
-KEPT_PIECES, KEPT_CHUNKS = 400_000, 20_000
+KEPT_PIECES, KEPT_CHUNKS = 100_000, 5_000
 PIECE_CHARS, CHUNK_CHARS = 48, 1024
 #: Characters of a run without blanks from which it is cut inside.
 LONG_RUN = 4096
@@ -184,6 +184,8 @@ def _added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the token ids of every whole text as array<int>."""
 
+    lean(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
         for batch in batches:

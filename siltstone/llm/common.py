@@ -123,11 +123,23 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of an Arrow batch at most: texts may be long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shipped(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers that don't share the
     driver's module path."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = [os.path.abspath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(":")] + [os.getcwd()]
+    lean(spark)
     ctx = spark.sparkContext
     if root in paths or os.path.exists(os.path.join(os.getcwd(), "siltstone", "llm", "common.py")) or getattr(ctx, "_siltstone_shipped", False):
         return spark

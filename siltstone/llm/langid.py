@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import fold, mix, slices
+from siltstone.llm.common import fold, lean, mix, slices
 
 ORDER, BITS, LANDMARKS, SAMPLE, LANGUAGES, RIDGE = 4, 13, 256, 400, 128, 1e-3
 UND = "und"
@@ -151,6 +151,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, list[str]], text: str = "text") -> DataFrame:
     """Adds __lang and __score to every row."""
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

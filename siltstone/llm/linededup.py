@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settled
+from siltstone.llm.common import lean, settled, slices
 
 #: Fixed by the contract: blanks stripped from a key, its least length, and the documents that make it repeated.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -155,16 +155,19 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     has = bitmaps.select(F.col("doc").alias("__doc"), F.col("body").alias("__body"), F.col("n_dropped").alias("__n_dropped"), F.col("keep").alias("__keep"))
     joined = identified(docs).join(has, ["__doc", "__body"], "left")
     text = F.coalesce(F.col("text"), F.lit(""))
+    lean(docs.sparkSession)
     whole = joined.withColumn("__n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, k, t = (batch.schema.get_field_index(c) for c in ("__n_lines", "__keep", "text"))
-            keep = batch.column(k)
-            if keep.null_count < batch.num_rows:
-                texts = [x if m is None else kept_lines(x, n, m) for x, n, m in zip(batch.column(t).to_pylist(), batch.column(at).to_pylist(), keep.to_pylist(), strict=True)]
-                batch = batch.set_column(t, batch.schema.field(t), pa.array(texts, batch.schema.field(t).type))
-            yield batch.drop_columns(["__keep"])
+            for a, b in slices(batch.column(t)):
+                part = batch.slice(a, b - a)
+                keep = part.column(k)
+                if keep.null_count < part.num_rows:
+                    texts = [x if m is None else kept_lines(x, n, m) for x, n, m in zip(part.column(t).to_pylist(), part.column(at).to_pylist(), keep.to_pylist(), strict=True)]
+                    part = part.set_column(t, part.schema.field(t), pa.array(texts, part.schema.field(t).type))
+                yield part.drop_columns(["__keep"])
 
     cols = [c for c in whole.columns if c not in ("__doc", "__body")]
     whole = whole.select(*cols)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import GOLD, LOWER, mix, settled, slices, spans_hash, utf8, words
+from siltstone.llm.common import GOLD, LOWER, lean, mix, settled, slices, spans_hash, utf8, words
 from siltstone.llm.components import components
 from siltstone.llm.quality import beta_cdf
 
@@ -281,6 +281,7 @@ def _verified(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, node, class_id and n_links of every document."""
+    lean(docs.sparkSession)
     sketched = settled(_sketched(docs))
     by_node = sketched.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = settled(by_node)
