@@ -210,12 +210,20 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """gram, n over a DataFrame of one string column; combined in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_n = np.zeros(0, _I), np.zeros(0, _I)
+        held, fresh, waiting = (np.zeros(0, _I), np.zeros(0, _I)), [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, back = np.unique(np.concatenate([held[0], *(k for k, _ in fresh)]), return_inverse=True)
+            return keys, np.bincount(back, np.concatenate([held[1], *(n for _, n in fresh)]), len(keys)).astype(_I)
+
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 21):
-                k, n = np.unique(grams(*utf8(batch.column(0).slice(a, b - a)), order)[0], return_counts=True)
-                held_k, back = np.unique(np.concatenate((held_k, k)), return_inverse=True)
-                held_n = np.bincount(back, np.concatenate((held_n, n))).astype(_I)
+            for a, b in slices(batch.column(0)):
+                fresh.append(np.unique(grams(*utf8(batch.column(0).slice(a, b - a)), order)[0], return_counts=True))
+                waiting += len(fresh[-1][0])
+                # What has come since is merged once it outweighs half of what is held.
+                if waiting > 200_000 + len(held[0]) // 2:
+                    held, fresh, waiting = merged(), [], 0
+        held_k, held_n = merged()
         for a in range(0, len(held_k), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(held_k[a : a + 100_000]), pa.array(held_n[a : a + 100_000])], ["gram", "n"])
 
@@ -239,7 +247,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(0), 1 << 22):
+            for a, b in slices(batch.column(0)):
                 data, offs = utf8(batch.column(0).slice(a, b - a))
                 data = LOWER[data]
                 s, e, _ = words(data, offs)
