@@ -10,9 +10,12 @@ its suffix, what is excluded at a level depends only on the context one level up
 so the exclusion sums are worked out once per context and a score takes one
 lookup per level that is visited.
 
-Grams of every order with a share of less than 2**-PRUNE of all training bytes
-are left out (behaving alike at every size), hence at most 2**PRUNE entries an
-order can ever be sent to the executors; counts that remain are exact.
+Every gram of the training texts counts, however rare.  A score depends on the
+gram alone, so each distinct gram of all texts is scored once, in a table that
+grows with the corpus: orders of at most SHARED grams go to all tasks, and the
+grams are dealt out by the last bytes of context that these cover, so that a task
+holds all higher orders of its grams.  The most frequent grams, 2**GRAMS at most,
+are sent with their scores; occurrences of others are joined.
 
 `code_lengths(adaptive=True)` instead starts from an empty trie in each document
 and counts as it goes.
@@ -39,11 +42,15 @@ from siltstone.llm.common import LOWER, fold, mix, per_row, settled, slices, spa
 
 #: Bytes of context; the packed gram of ORDER + 1 symbols of 9 bits must fit 63 bits.
 ORDER = 5
-PRUNE, HEAD = 24, 19
+GRAMS, HEAD = 20, 19
+#: Grams of an order that every task may hold (order 1 always fits), and that a task scores, about.
+SHARED, PART = 1 << 17, 100_000
 #: Symbols besides the 256 bytes.
 END, START, SYMBOLS = 256, 257, 257
 _BITS = 9
 _I = np.int64
+#: Marks grams of texts held out while they are counted.
+_HELD = 1 << 60
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +213,9 @@ def adaptive_length(data: np.ndarray, order: int = ORDER) -> float:
     return total
 
 
-def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, n over a DataFrame of one string column; combined in each task."""
+def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n in training texts, more in texts held out, over the columns text and
+    held_out; combined in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, fresh, waiting = (np.zeros(0, _I), np.zeros(0, _I)), [], 0
@@ -218,28 +226,72 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                fresh.append(np.unique(grams(*utf8(batch.column(0).slice(a, b - a)), order)[0], return_counts=True))
+                key, row = grams(*utf8(batch.column(0).slice(a, b - a)), order)
+                key |= np.where(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), _HELD, 0)[row]
+                fresh.append(np.unique(key, return_counts=True))
                 waiting += len(fresh[-1][0])
                 # What has come since is merged once it outweighs half of what is held.
                 if waiting > 200_000 + len(held[0]) // 2:
                     held, fresh, waiting = merged(), [], 0
         held_k, held_n = merged()
-        for a in range(0, len(held_k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(held_k[a : a + 100_000]), pa.array(held_n[a : a + 100_000])], ["gram", "n"])
+        out = held_k >= _HELD
+        key, back = np.unique(held_k & (_HELD - 1), return_inverse=True)
+        n, more = (np.bincount(back[x], held_n[x], len(key)).astype(_I) for x in (~out, out))
+        for a in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (key, n, more)], ["gram", "n", "more"])
 
-    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(run, "gram long, n long, more long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("more").alias("more"))
 
 
-def train(texts: DataFrame, order: int = ORDER, prune: int = PRUNE) -> Trie:
-    """Counts every text; the trie that comes to the driver is of bounded size."""
-    counts = settled(gram_counts(texts, order))
-    least = (counts.agg(F.sum("n")).first()[0] or 0) / 2**prune
-    levels = []
-    for k in range(order + 1):
-        level = counts if k == order else counts.groupBy(F.col("gram").bitwiseAND(F.lit(suffix(k))).alias("gram")).agg(F.sum("n").alias("n"))
-        kept = level.where(F.col("n") >= least).select("gram", "n").toArrow()
-        levels.append((kept["gram"].to_numpy().astype(_I), kept["n"].to_numpy()))
-    return Trie(levels)
+def train(docs: DataFrame, order: int = ORDER, prune: int | None = None) -> DataFrame:
+    """gram, occurrences and score of every distinct gram of the texts, by the counts
+    of those not held out.  If `prune` is given, training grams of every order with
+    a share of less than 2**-prune are taken as not seen."""
+    spark = docs.sparkSession
+    counts = settled(gram_counts(docs, order))
+    rows, total = counts.agg(F.count("n"), F.sum("n")).first()
+    least = 1 if prune is None else max(1, (total or 0) / 2**prune)
+    low = []
+    for k in range(order):
+        level = counts.groupBy(F.col("gram").bitwiseAND(F.lit(suffix(k))).alias("gram")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        got = level.limit(SHARED + 1).toArrow()
+        if got.num_rows > SHARED:
+            break
+        low.append((got["gram"].to_numpy().astype(_I), got["n"].to_numpy()))
+    sent = spark.sparkContext.broadcast(low)
+    # Grams that agree in as many bytes of context as there are shared orders go together.
+    shared = F.shiftright("gram", _BITS).bitwiseAND(F.lit((1 << (_BITS * len(low))) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = list(batches)
+        if not got:
+            return
+        gram, n, more = (np.concatenate([b.column(i).to_numpy() for b in got]) for i in range(3))
+        levels = list(sent.value)
+        for k in range(len(levels), order + 1):
+            key, back = np.unique(gram & suffix(k), return_inverse=True)
+            count = np.bincount(back, n, len(key))
+            levels.append((key[count >= least], count[count >= least]))
+        score = Trie(levels).score(gram)
+        for a in range(0, len(gram), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in (gram, n + more, score)], ["gram", "n", "score"])
+
+    return settled(counts.repartition(rows // PART + 1, shared).mapInArrow(run, "gram long, n long, score double"))
+
+
+def _split(table: DataFrame, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The most frequent grams, at most `most`, the others, and how many these are."""
+    rank = F.floor(F.log2("n") * 16)
+    sizes = {r["rank"]: r["count"] for r in table.groupBy(rank.alias("rank")).count().collect()}
+    cut, room = math.inf, most
+    for at in sorted(sizes, reverse=True):
+        room -= sizes[at]
+        if room < 0:
+            break
+        cut = at
+    left = sum(x for at, x in sizes.items() if at < cut)
+    first = rank >= F.lit(float(cut))
+    return table.where(first), table.where(~first), left
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
@@ -262,7 +314,9 @@ def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = O
     spark = docs.sparkSession
     src = docs.select("doc_id", "text", (fold("doc_id", held_mod) == held_rem).alias("held_out"))
     learn = src.where(~F.col("held_out")).select("text")
-    trie = train(learn, order)
+    often, seldom, n_seldom = _split(train(src.select("text", "held_out"), order), 2**GRAMS)
+    often = often.select("gram", "score").toArrow()
+    top = Table(often["gram"].to_numpy().astype(_I)), often["score"].to_numpy()
     tokens = settled(token_counts(learn))
     n_docs = learn.count()
     stats = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
@@ -272,12 +326,12 @@ def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = O
     rare = stats[1] - head.num_rows
     keys, ns = head["token"].to_numpy().astype(_I), head["n"].to_numpy().astype(_I)
     at = np.argsort(keys)
-    model = spark.sparkContext.broadcast((trie, keys[at], ns[at], n_all, n_types, n_docs))
+    model = spark.sparkContext.broadcast((top, keys[at], ns[at], n_all, n_types, n_docs))
     kind = src.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, ns, n_all, n_types, n_docs = model.value
+        (table, gram_scores), keys, ns, n_all, n_types, n_docs = model.value
         whole = math.log10(n_all + n_types + 1)
         for batch in batches:
             for a, b in slices(batch.column(1)):
@@ -292,33 +346,43 @@ def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = O
                 # The end of a text is a token of every text.
                 n_tokens = np.bincount(row, minlength=n) + 1
                 base = np.bincount(row, np.log10(count + 1.0), n) + math.log10(n_docs + 1) - n_tokens * whole
-                key, owner = grams(data, offs, trie.order)
-                model_score = np.bincount(owner, trie.score(key), n)
+                key, owner = grams(data, offs, order)
+                where = table.find(key)
+                seen = where >= 0
+                model_score = np.bincount(owner[seen], gram_scores[where[seen]], n)
                 n_known = np.bincount(row[known], minlength=n) + (n_docs > 0)
-                left, lo = token[~known], np.zeros(n + 1, np.int32)
-                np.cumsum(np.bincount(row[~known], minlength=n), out=lo[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n_tokens.astype(_I)), pa.array(n_known.astype(_I)), pa.array(base), pa.array(model_score), pa.ListArray.from_arrays(pa.array(lo), pa.array(left))], names
+                    [part.column(0), part.column(2), pa.array(n_tokens.astype(_I)), pa.array(n_known.astype(_I)), pa.array(base), pa.array(model_score), _lists(token[~known], row[~known], n), _lists(key[~seen], owner[~seen], n)], names
                 )
 
-    out = src.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>")
-    if rare:
-        out = _with_rare(out, tokens.where(F.col("n") < least))
+    out = src.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, grams array<long>")
+    if rare or n_seldom:
+        out = _with_rare(out, tokens.where(F.col("n") < least), seldom)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _with_rare(scored: DataFrame, rare: DataFrame) -> DataFrame:
-    """Adds what occurrences of rare training tokens bring, by joins on the token
-    and back on the document's row."""
+def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n rows; the rows ascend."""
+    lo = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(row, minlength=n), out=lo[1:])
+    return pa.ListArray.from_arrays(pa.array(lo), pa.array(values))
+
+
+def _with_rare(scored: DataFrame, rare: DataFrame, seldom: DataFrame) -> DataFrame:
+    """Adds what occurrences of rare training tokens and of seldom grams bring, by
+    joins on the token or gram and back on the document's row."""
     scored = settled(scored.withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.explode("rare").alias("token"))
-    gain = each.join(rare, "token").groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))
-    out = scored.drop("rare").join(gain, "row", "left")
-    return out.withColumn("n_known", F.col("n_known") + F.coalesce("more", F.lit(0))).withColumn("base_score", F.col("base_score") + F.coalesce("gain", F.lit(0.0)))
+    each = scored.select("row", F.size("rare").alias("n_rare"), F.posexplode(F.concat("rare", "grams")).alias("pos", "key")).select("row", "key", (F.col("pos") >= F.col("n_rare")).alias("is_gram"))
+    brings = rare.select(F.col("token").alias("key"), F.lit(False).alias("is_gram"), F.log10(F.col("n") + 1.0).alias("gain")).unionByName(seldom.select(F.col("gram").alias("key"), F.lit(True).alias("is_gram"), F.col("score").alias("gain")))
+    gain = each.join(brings, ["key", "is_gram"]).groupBy("row").agg(F.count_if(~F.col("is_gram")).alias("more"), F.sum(F.when(~F.col("is_gram"), F.col("gain"))).alias("gain"), F.sum(F.when(F.col("is_gram"), F.col("gain"))).alias("gram_gain"))
+    out = scored.drop("rare", "grams").join(gain, "row", "left")
+    for to, add in (("n_known", "more"), ("base_score", "gain"), ("score", "gram_gain")):
+        out = out.withColumn(to, F.col(to) + F.coalesce(add, F.lit(0)))
+    return out
 
 
 def code_lengths(docs: DataFrame, adaptive: bool = True, trie: Trie | None = None, order: int = ORDER) -> DataFrame:
-    """doc_id and bits of every document, adaptive or by a given trie."""
+    """doc_id and bits of every document, adaptive or by a given trie (`Trie.of`)."""
     src = docs.select("doc_id", "text")
     sent = None if adaptive else docs.sparkSession.sparkContext.broadcast(trie)
 

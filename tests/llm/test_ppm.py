@@ -87,3 +87,27 @@ def test_adaptive_and_empty(docs, empty):
     assert ppm.scores(empty).count() == 0
     bits = {r["doc_id"]: r["bits"] for r in ppm.code_lengths(docs.where("length(text) < 9001")).collect()}
     assert 0 < bits[6] < 600 and bits[1] == pytest.approx(math.log2(ppm.SYMBOLS))
+
+
+@pytest.mark.parametrize("most,shared", [(20, 1 << 17), (6, 40)])
+def test_rare_grams_count(spark, monkeypatch, most, shared):
+    """A gram seen once or twice in more than 2**24 bytes counts like any other."""
+    monkeypatch.setattr(ppm, "GRAMS", most)
+    monkeypatch.setattr(ppm, "SHARED", shared)
+    monkeypatch.setattr(ppm, "PART", 50)
+    ids = [i for i in range(200) if not held(i)]
+    rest = [i for i in range(200) if held(i)]
+    texts = {ids[0]: "qu\u00e9 vuelvo xylophon zwq", ids[1]: "quick brown xylem", rest[0]: "qu\u00e9 vuelvo xylophon zwq", rest[1]: "xylophone, brownish", rest[2]: "\x01\x02"}
+    rows = [(i, texts.get(i, "la " * 3_500 if i % 9 else "ab " * 40)) for i in range(200)]
+    rows += [(ids[2], "la " * 7_000_000)]
+    got = {r["doc_id"]: r["score"] for r in ppm.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] in texts}
+    # What the long text counts follows from a short one: all its grams but the first few repeat.
+    short = Brute([t if len(t) < 1e6 else "la " * 4 for i, t in rows if not held(i)], ppm.ORDER)
+    for level in short.counts:
+        for ctx, nexts in level.items():
+            for s in nexts:
+                cycle = [*b"la "] * 3
+                if (*ctx, s) in {tuple(cycle[a : a + len(ctx) + 1]) for a in range(3)}:
+                    nexts[s] += 7_000_000 - 4
+    for i, t in texts.items():
+        assert math.isclose(got[i], short.score(t), rel_tol=1e-9), i
