@@ -17,7 +17,9 @@ line feed.  All sentences of a batch are run through at once, so the number of
 steps is the longest sentence's length.
 
 Fitting uses at most SAMPLE labelled documents of either label, those with the
-least hashes of their ids, as hashed features of SAMPLE_TOKENS tokens at most.
+least hashes of their ids, as hashed features of SAMPLE_TOKENS tokens at most, half
+of them for either label; a document that doesn't fit is passed over, and a label
+of which none fits keeps its shortest one.
 Every whole text is scored.  Null and empty texts get the curve's value at no
 evidence; rows without labels, null labels, repeated and extra columns don't
 matter; without labels of both kinds all scores are 0.
@@ -240,12 +242,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = _sample(docs, labels, sample)
     # Within the bound on tokens, in an order that owes nothing to labels or partitions.
     by = sorted(zip(*(rows[c].to_pylist() for c in ("word", "features", "heads", "toxic")), strict=True))
-    kept, total = [], 0
+    kept, room = [], {}
     for r in by:
-        total += len(r[2])
-        if kept and total > SAMPLE_TOKENS:
-            break
-        kept.append(r)
+        left = room.setdefault(r[3], SAMPLE_TOKENS // 2) - len(r[2])
+        if left >= 0:
+            room[r[3]] = left
+            kept.append(r)
+    for label in sorted(room.keys() - {r[3] for r in kept}):
+        kept.append(min((r for r in by if r[3] == label), key=lambda r: len(r[2])))
     toxic = np.array([r[3] for r in kept], float)
     zero = Model(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros((2, 2)), None)
     if not len(toxic) or toxic.min() == toxic.max():

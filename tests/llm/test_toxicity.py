@@ -64,3 +64,18 @@ def test_odd_tables(docs, empty, spark):
     marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
     assert tx.digests(docs, marks).count() == docs.count()
     assert tx.digests(empty, marks).count() == 0
+
+
+def test_a_very_long_document_leaves_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(tx, "SAMPLE_TOKENS", 30_000)
+    rows, labels = corpus(300)
+    first = lambda t: tx.Tokens(*tx.utf8(tx.pa.array([t]))).word[0].tobytes()
+    least = min(first(t) for _, t, *_ in rows)
+    head = next(w for w in map("".join, itertools.product("abcdefgh", repeat=5)) if first(w) < least)
+    docs = spark.createDataFrame([*rows, (1000, f"{head} " + "calm water. " * 20_000, "en", "s", "clash")], "doc_id long, text string, lang string, source string, score string")
+    schema = "doc_id long, quality int, toxic int"
+    model = tx.train(docs, spark.createDataFrame([*labels, (1000, 1, 0)], schema))
+    short = tx.train(docs, spark.createDataFrame(labels, schema))
+    assert model.curve is not None and np.array_equal(model.weights, short.weights)
+    # The only toxic document, too long itself, stays.
+    assert tx.train(docs, spark.createDataFrame([*((d, 1, 0) for d, _, t in labels if not t), (1000, 1, 1)], schema)).curve is not None
