@@ -4,7 +4,9 @@ Rules reject a document whose feature exceeds a cutoff.  The cutoff of a rule in
 a stratum is certified on a labelled holdout: among rows labelled good, the exact
 (Clopper-Pearson) upper bound on the share that the cutoff rejects must stay
 below the rule's share of the risk, at a confidence divided by the number of
-(stratum, rule, cutoff) tests, a Bonferroni correction.  Of the certified cutoffs
+(stratum, rule) pairs, a Bonferroni correction.  The nested cutoffs of a pair are
+tested in fixed sequence, from the loosest on until one fails, which needs no
+correction.  Of the certified cutoffs
 the one is taken that rejects most rows labelled bad, each good one rejected
 counting against it; a rule with no useful certified cutoff rejects nothing.
 
@@ -174,18 +176,21 @@ def _stratum(n_words: Column) -> Column:
 def certified(histogram: list[tuple[int, str, int, int, int]], risk: float = RISK, failure: float = FAILURE) -> dict[tuple[int, str], tuple[int, float]]:
     """Cutoff index and bound by (stratum, rule), from rows (stratum, rule, bin,
     good, count)."""
-    tests = len(BANDS) * len(RULES) * GRID
+    tests = len(BANDS) * len(RULES)
     seen: dict[tuple[int, str], np.ndarray] = {}
     for stratum, rule, at, good, n in histogram:
         seen.setdefault((stratum, rule), np.zeros((2, GRID + 1), np.int64))[good, at] += n
     out = {}
     for where, (bad, good) in seen.items():
-        total, best = int(good.sum()), (0, 0)
-        for cut in range(GRID):
+        total, best = int(good.sum()), 0
+        for cut in reversed(range(GRID)):
             lost, caught = int(good[cut + 1 :].sum()), int(bad[cut + 1 :].sum())
+            bound = upper_bound(lost, total, failure / tests)
+            if bound > risk / len(RULES):
+                break
             gain = caught - GOOD_WEIGHT * lost
-            if gain > best[0] and (bound := upper_bound(lost, total, failure / tests)) <= risk / len(RULES):
-                best, out[where] = (gain, cut), (cut, bound)
+            if gain > 0 and gain >= best:
+                best, out[where] = gain, (cut, bound)
     return out
 
 

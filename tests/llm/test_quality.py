@@ -38,3 +38,10 @@ def test_no_uncertified_cutoff():
     assert not quality.certified(few)
     (cut, bound) = quality.certified(many)[1, "symbol_share"]
     assert cut < 50 and bound <= quality.RISK / len(quality.RULES)
+
+
+def test_nested_cutoffs_cost_no_confidence():
+    rule = [(1, "symbol_share", 50, 0, 500)]
+    (cut, bound) = quality.certified([*rule, (1, "symbol_share", 0, 1, 1151)])[1, "symbol_share"]
+    assert cut == 0 and bound <= quality.RISK / len(quality.RULES)
+    assert not quality.certified([*rule, (1, "symbol_share", 0, 1, 1150)])
