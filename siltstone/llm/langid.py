@@ -12,10 +12,11 @@ features is solved in closed form.  A batch of texts is scored by two matrix
 products, (texts x places)(places x landmarks) and (texts x landmarks)(landmarks
 x languages).
 
-The classifier is fitted on at most SAMPLE labelled rows of each language, those
-with the least hashes of their ids; only their presence bits come to the driver,
-2**BITS / 8 bytes a row, and at most LANGUAGES languages with most rows are
-learned.  Every whole text is scored.
+Every language is learned.  The classifier is fitted on at most SAMPLE labelled
+rows of each, those with the least hashes of their ids; where there are many
+languages, on fewer of each, ROWS in all but never under FEWEST a language.  Only
+their presence bits come to the driver, 2**BITS / 8 bytes a row.  Every whole text
+is scored.
 
 A text that is null or has no letter is `und` with score 0.  Null labels don't
 count; null ids, ties, repeated rows and extra columns don't matter.  Without any
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import fold, lean, mix, slices
 
-ORDER, BITS, LANDMARKS, SAMPLE, LANGUAGES, RIDGE = 4, 13, 256, 400, 128, 1e-3
+ORDER, BITS, LANDMARKS, SAMPLE, ROWS, FEWEST, RIDGE = 4, 13, 256, 400, 51_200, 16, 1e-3
 UND = "und"
 _U = np.uint64
 
@@ -91,22 +92,23 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fit(held: np.ndarray, langs: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Landmarks' presence, weights (landmarks x languages) and languages."""
-    names = sorted(set(langs))
+    names, code = np.unique(langs, return_inverse=True)
+    names = names.tolist()
+    by = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[by], np.arange(len(names)))
     rng = np.random.default_rng(seed)
     each = max(1, LANDMARKS // len(names))
-    marks = np.concatenate([rng.permutation(np.flatnonzero(langs == x))[:each] for x in names])
+    marks = np.concatenate([rng.permutation(x)[:each] for x in np.split(by, starts[1:])])
     land = held[np.sort(marks)]
     value, vector = np.linalg.eigh(kernel(land, land).astype(float))
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    phi = kernel(held, land) @ root
+    phi = np.concatenate([kernel(held[a : a + 4096], land) @ root for a in range(0, len(held), 4096)])
     # Rows weigh so that languages weigh alike.
-    w = np.zeros(len(langs))
-    for x in names:
-        w[langs == x] = len(langs) / len(names) / np.sum(langs == x)
-    y = (langs[:, None] == np.array(names)[None, :]).astype(float)
+    w = (len(langs) / len(names) / np.bincount(code))[code]
     gram = phi.T @ (phi * w[:, None]) + RIDGE * len(langs) * np.eye(phi.shape[1])
-    return land, (root @ np.linalg.solve(gram, phi.T @ (y * w[:, None]))).astype(np.float32), names
+    sums = np.add.reduceat((phi * w[:, None])[by], starts)
+    return land, (root @ np.linalg.solve(gram, sums.T)).astype(np.float32), names
 
 
 def predict(held: np.ndarray, lettered: np.ndarray, land: np.ndarray, weights: np.ndarray, names: list[str]) -> tuple[list[str], np.ndarray]:
@@ -134,14 +136,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray
     """Fits on rows with a label, taken by the least hashes of their ids.  Only
     ids and labels are read to choose them."""
     known = docs.where(F.col("lang").isNotNull())
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    if not langs:
+    n_langs = known.select("lang").distinct().count()
+    if not n_langs:
         return np.zeros((0, 1 << BITS), bool), np.zeros((0, 0), np.float32), []
+    each = min(sample, max(FEWEST, ROWS // n_langs))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("lang").isin(langs) & F.col("doc_id").isNotNull()).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-    # At most LANGUAGES * sample ids: a proven bound.
+    chosen = known.where(F.col("doc_id").isNotNull()).select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    # At most `each` ids a language; repeated rows count once.
     ids = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    rows = _bits(known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "text")).where("ok").limit(LANGUAGES * sample).toArrow()
+    rows = _bits(known.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("lang", "doc_id", "text").distinct().select("lang", "text")).where("ok").toArrow()
     if not rows.num_rows:
         return np.zeros((0, 1 << BITS), bool), np.zeros((0, 0), np.float32), []
     held = np.unpackbits(np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint8)).reshape(rows.num_rows, -1).astype(bool)

@@ -60,3 +60,13 @@ def test_odd_rows(docs, empty):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (0, 1, 2, 3)} == {"und"}
     assert langid.digests(empty).count() == 0
     assert {r["lang_pred"] for r in langid.digests(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(8)
+    letters = {f"l{i:03}": [chr(0x4E00 + 6 * i + k) for k in range(6)] for i in range(140)}
+    data = [(i * 200 + j, "".join(r.choices(own, k=40)), lang) for i, (lang, own) in enumerate(letters.items()) for j in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = langid.classify(df, langid.train(df)).collect()
+    assert {x["__lang"] for x in got} == set(letters)
+    assert np.mean([x["__lang"] == x["lang"] for x in got]) > 0.97
