@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siltstone.llm import langid
@@ -28,15 +29,44 @@ def test_kernel_against_sets():
         s = (" " if runs[:1] == " " and s else "") + s + (" " if runs[-1:] == " " and s else "")
         return {s[i : i + n] for n in range(1, langid.ORDER + 1) for i in range(len(s) - n + 1)} - {" "}
 
-    held, ok = langid.presence(texts)
-    assert ok.tolist() == [True, True, True, False, False]
+    whole = presence(texts)
+    assert sorted(whole) == [0, 1, 2]
+    held = np.concatenate([whole[i] for i in range(3)])
     sets = [grams(t) for t in texts]
     got = langid.kernel(held, held)
     for i in range(3):
         for j in range(3):
             want = len(sets[i] & sets[j]) / (len(sets[i]) * len(sets[j])) ** 0.5
             assert abs(got[i, j] - want) < 0.08
-    assert not held[3:].any()
+
+
+def presence(texts):
+    """Presence of the lettered segments of each text."""
+    out = {}
+    for held, row, letters in langid.presence(*langid.utf8(pa.array(texts, pa.string()))):
+        for h, r, n in zip(held, row, letters, strict=True):
+            if n:
+                out.setdefault(int(r), []).append(h)
+    return {k: np.array(v) for k, v in out.items()}
+
+
+def test_windows_give_the_segments_of_the_whole(monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choice("aä b-ç中.") for _ in range(30_000))
+    whole = presence([text, "x"])[0]
+    monkeypatch.setattr(langid.windows, "__defaults__", (777,))
+    assert np.array_equal(presence([text])[0], whole)
+    # A segment is what a text of its own would be, but for n-grams that reach on.
+    monkeypatch.setattr(langid, "SEGMENT", 10**9)
+    assert len(presence([text])[0]) == 1
+
+
+def test_score_does_not_fall_with_length():
+    r = random.Random(6)
+    model = langid.fit(np.concatenate([presence([t])[0][:1] for _, t, _, _ in rows()]), np.array([x[3] for x in rows()]))
+    word = lambda: "".join(r.choice(SOUNDS["bb"].split()) for _ in range(3))
+    score = [langid.predict(*langid.utf8(pa.array([" ".join(word() for _ in range(n))])), *model) for n in (300, 30_000)]
+    assert score[0][0] == score[1][0] == ["bb"] and abs(score[0][1][0] - score[1][1][0]) < 0.1
 
 
 def test_held_out_accuracy(spark):
