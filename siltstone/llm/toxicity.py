@@ -19,8 +19,8 @@ steps is the longest sentence's length.
 Fitting uses at most SAMPLE labelled documents of either label, those with the
 least hashes of their ids, as hashed features of SAMPLE_TOKENS tokens at most, half
 of them for either label; a document that doesn't fit is passed over, and a label
-of which none fits keeps its shortest one.
-Every whole text is scored.  Null and empty texts get the curve's value at no
+of which none fits keeps its shortest one; of rows that share an id one is fitted.
+Every whole text is scored, some sentences at a time if it is long.  Null and empty texts get the curve's value at no
 evidence; rows without labels, null labels, repeated and extra columns don't
 matter; without labels of both kinds all scores are 0.
 """
@@ -31,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import GOLD, LOWER, fold, mix, slices, spans_hash, utf8
+from siltstone.llm.common import GOLD, LOWER, SLICE_BYTES, fold, lean, least_hashes, mix, runs, slices, spans_hash, utf8
 
 SAMPLE, SAMPLE_TOKENS = 1000, 2_000_000
 FEATURE_BITS, EVIDENCE, PRECISION, FLOOR, OFFENDING = 18, 16.0, 0.9, 0.3, 0.5
@@ -54,16 +54,7 @@ class Tokens:
     """Tokens of a slice of texts, their features and their sentences."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        inside = _letter[data]
-        first, last = inside.copy(), inside.copy()
-        first[1:] &= ~inside[:-1]
-        last[:-1] &= ~inside[1:]
-        heads = offs[:-1][offs[:-1] < offs[1:]]
-        tails = offs[1:][offs[:-1] < offs[1:]] - 1
-        first[heads] |= inside[heads]
-        last[tails] |= inside[tails]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        self.row = np.searchsorted(offs, self.start, "right") - 1
+        self.start, self.end, self.row = runs(_letter, data, offs)
         low = LOWER[data]
         # Capitals of Latin-1 in UTF-8: C3 80 to C3 9E, without the multiplication sign.
         wide = np.flatnonzero((low[1:] >= 0x80) & (low[1:] <= 0x9E) & (low[1:] != 0x97) & (low[:-1] == 0xC3)) + 1
@@ -183,11 +174,35 @@ def token_tags(word: np.ndarray, features: np.ndarray, row: np.ndarray, toxic: n
     return (hit & (label > 0)).astype(np.int64)
 
 
-def evidence(p: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Of each document: 1, log of 1 + the sum of marginals, the largest one."""
+def evidence(total: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of each document: 1, log of 1 + the sum of marginals beyond FLOOR, the
+    largest one."""
+    return np.stack((np.ones(len(total)), np.log1p(total), most), 1)
+
+
+def summed(p: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     most = np.zeros(n)
     np.maximum.at(most, row, p)
-    return np.stack((np.ones(n), np.log1p(np.bincount(row, np.where(p > FLOOR, p, 0.0), n)), most), 1)
+    return np.bincount(row, np.where(p > FLOOR, p, 0.0), n), most
+
+
+def sentences(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Byte ranges of one text, about `most` bytes each, that end with a sentence;
+    where none ends, they end between words, and a word is never cut."""
+    at = 0
+    while at < len(data):
+        to = min(len(data), at + most)
+        if to < len(data):
+            for ends in (_stop, ~_letter):
+                found = np.flatnonzero(ends[data[at:to]])
+                if len(found):
+                    to = at + int(found[-1]) + 1
+                    break
+            else:
+                rest = np.flatnonzero(~_letter[data[to:]])
+                to = to + int(rest[0]) + 1 if len(rest) else len(data)
+        yield at, to
+        at = to
 
 
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -210,61 +225,103 @@ class Model:
             return np.zeros(0)
         return Chains(tokens.heads, len(tokens.start)).marginals(self.weights[tokens.features].sum(1), self.trans)[0]
 
-    def scores(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, Tokens, np.ndarray]:
-        n, tokens = len(offs) - 1, Tokens(data, offs)
-        p = self.marginals(tokens)
+    def read(self, data: np.ndarray, offs: np.ndarray, most: int = SLICE_BYTES) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+        """Score of each row, and its offending tokens: row, number within the
+        slice, start and end in code points of the row.  One long text is read
+        some sentences at a time."""
+        n, number, chars, hits = len(offs) - 1, 0, 0, []
+        total, largest = np.zeros(n), np.zeros(n)
+        for a, b in sentences(data, most) if n == 1 else [(0, len(data))]:
+            part, at = data[a:b], offs if n > 1 else np.array([0, b - a])
+            tokens = Tokens(part, at)
+            p = self.marginals(tokens)
+            more, top = summed(p, tokens.row, n)
+            total, largest = total + more, np.maximum(largest, top)
+            hit = np.flatnonzero(p > OFFENDING)
+            seen = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))
+            base = seen[at[tokens.row[hit]]] - chars
+            hits.append((tokens.row[hit], hit + number, seen[tokens.start[hit]] - base, seen[tokens.end[hit]] - base))
+            number, chars = number + len(p), chars + int(seen[-1])
         if self.curve is None:
-            return np.zeros(n), tokens, p
-        return 1 / (1 + np.exp(-np.clip(evidence(p, tokens.row, n) @ self.curve, -30, 30))), tokens, p
+            return np.zeros(n), hits
+        return 1 / (1 + np.exp(-np.clip(evidence(total, largest) @ self.curve, -30, 30))), hits
 
 
-def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> pa.Table:
-    """toxic, words, features and sentence heads of the documents that are fitted."""
+def _chosen(docs: DataFrame, labels: DataFrame, sample: int, room: int) -> DataFrame | None:
+    """(toxic, __id, __body) of the documents that are fitted, one for an id.  Only
+    ids, hashes and numbers of tokens come to the driver."""
     marked = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = marked.join(docs.select("doc_id").distinct(), "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select(F.col("doc_id").alias("__id"), "toxic")
-    # At most 2 * sample ids: a proven bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id")).select("toxic", "text")
+    known = marked.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id")
+    ids = least_hashes(known, "toxic", "doc_id", sample)
+    if not ids.num_rows:
+        return None
+    spark = docs.sparkSession
+    # At most `sample` ids a label, here and below.
+    chosen = F.broadcast(spark.createDataFrame(ids.rename_columns(["toxic", "__id"])))
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("toxic", "__id", F.xxhash64("text").alias("__body"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(3)):
+                part = batch.slice(a, b - a)
+                data, offs = utf8(part.column(3))
+                _, _, row = runs(_letter, data, offs)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.bincount(row, minlength=part.num_rows))], ["toxic", "__id", "__body", "n"])
+
+    counted = rows.mapInArrow(run, f"toxic int, __id {docs.schema['doc_id'].dataType.simpleString()}, __body long, n long")
+    got = counted.groupBy("toxic", "__id").agg(F.min(F.struct("__body", "n")).alias("m")).select("toxic", "__id", "m.*").toArrow().sort_by([("toxic", "ascending"), ("__body", "ascending"), ("__id", "ascending")])
+    toxic, n = got["toxic"].to_numpy(), got["n"].to_numpy()
+    keep = np.zeros(len(n), bool)
+    for label in np.unique(toxic):
+        left = room // 2
+        for i in np.flatnonzero(toxic == label):
+            if n[i] <= left:
+                keep[i], left = True, left - n[i]
+        if not keep[toxic == label].any():
+            keep[np.flatnonzero(toxic == label)[n[toxic == label].argmin()]] = True
+    return spark.createDataFrame(got.filter(pa.array(keep)).select(["toxic", "__id", "__body"]))
+
+
+def _sample(docs: DataFrame, labels: DataFrame, sample: int, room: int) -> list[dict]:
+    """toxic, words, features and sentence heads of the documents that are fitted."""
+    chosen = _chosen(docs, labels, sample, room)
+    if chosen is None:
+        return []
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__body"))).select("toxic", "__id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(batch.num_rows):
                 part = batch.slice(a, 1)
-                t = Tokens(*utf8(part.column(1)))
+                t = Tokens(*utf8(part.column(2)))
                 heads = np.zeros(len(t.start), np.int8)
                 heads[t.heads] = 1
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([x.tobytes()], pa.binary()) for x in (t.word, t.features, heads))], ["toxic", "word", "features", "heads"])
-
-    return rows.mapInArrow(run, "toxic int, word binary, features binary, heads binary").limit(2 * sample).toArrow()
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    rows = _sample(docs, labels, sample)
-    # Within the bound on tokens, in an order that owes nothing to labels or partitions.
-    by = sorted(zip(*(rows[c].to_pylist() for c in ("word", "features", "heads", "toxic")), strict=True))
-    kept, room = [], {}
-    for r in by:
-        left = room.setdefault(r[3], SAMPLE_TOKENS // 2) - len(r[2])
-        if left >= 0:
-            room[r[3]] = left
-            kept.append(r)
-    for label in sorted(room.keys() - {r[3] for r in kept}):
-        kept.append(min((r for r in by if r[3] == label), key=lambda r: len(r[2])))
-    toxic = np.array([r[3] for r in kept], float)
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array([x.tobytes()], pa.binary()) for x in (t.word, t.features, heads))], ["toxic", "__id", "word", "features", "heads"])
+
+    made = rows.mapInArrow(run, f"toxic int, __id {docs.schema['doc_id'].dataType.simpleString()}, word binary, features binary, heads binary")
+    # Rows alike in id and text are one.
+    out = made.groupBy("toxic", "__id").agg(*(F.first(c).alias(c) for c in ("word", "features", "heads"))).toArrow().to_pylist()
+    # An order that owes nothing to labels, ids or partitions.
+    return sorted(out, key=lambda r: (r["word"], r["features"], r["heads"], r["toxic"]))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, room: int | None = None) -> Model:
+    kept = _sample(docs, labels, sample, SAMPLE_TOKENS if room is None else room)
+    toxic = np.array([r["toxic"] for r in kept], float)
     zero = Model(np.zeros(1 << FEATURE_BITS, np.float32), np.zeros((2, 2)), None)
     if not len(toxic) or toxic.min() == toxic.max():
         return zero
-    word = np.frombuffer(b"".join(r[0] for r in kept), _U)
-    features = np.frombuffer(b"".join(r[1] for r in kept), np.int32).reshape(len(word), -1)
-    heads = np.flatnonzero(np.frombuffer(b"".join(r[2] for r in kept), np.int8))
-    row = np.repeat(np.arange(len(kept)), [len(r[2]) for r in kept])
+    word = np.frombuffer(b"".join(r["word"] for r in kept), _U)
+    features = np.frombuffer(b"".join(r["features"] for r in kept), np.int32).reshape(len(word), -1)
+    heads = np.flatnonzero(np.frombuffer(b"".join(r["heads"] for r in kept), np.int8))
+    row = np.repeat(np.arange(len(kept)), [len(r["heads"]) for r in kept])
     if not len(word):
         return zero
     tags = token_tags(word, features, row, toxic)
     weights, trans = fit_chain(features, heads, tags)
     model = Model(weights, trans, None)
     p = Chains(heads, len(word)).marginals(weights[features].sum(1), trans)[0]
-    model.curve = fit_curve(evidence(p, row, len(kept)), toxic)
+    model.curve = fit_curve(evidence(*summed(p, row, len(kept))), toxic)
     return model
 
 
@@ -273,6 +330,7 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     offending tokens."""
     from pyspark.sql import types as T
 
+    lean(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = T.ArrayType(T.ArrayType(T.LongType()))
 
@@ -282,28 +340,26 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
             for a, b in slices(batch.column(col)):
                 part = batch.slice(a, b - a)
                 data, offs = utf8(part.column(col))
-                got, tokens, p = sent.value.scores(data, offs)
+                got, hits = sent.value.read(data, offs)
                 cols, names = [*part.columns, pa.array(got)], [*part.schema.names, "__score"]
                 if spans:
-                    cols, names = [*cols, pa.array(_runs(data, offs, tokens, p), pa.list_(pa.list_(pa.int64())))], [*names, "__spans"]
+                    cols, names = [*cols, pa.array(_runs(hits, part.num_rows), pa.list_(pa.list_(pa.int64())))], [*names, "__spans"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("__score", T.DoubleType()), *([T.StructField("__spans", kind)] if spans else [])]))
 
 
-def _runs(data: np.ndarray, offs: np.ndarray, tokens: Tokens, p: np.ndarray) -> list[list[list[int]]]:
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-    out: list[list[list[int]]] = [[] for _ in range(len(offs) - 1)]
-    hit = np.flatnonzero(p > OFFENDING)
-    before = -2
-    for i in hit.tolist():
-        row, base = int(tokens.row[i]), int(chars[offs[tokens.row[i]]])
-        start, end = int(chars[tokens.start[i]]) - base, int(chars[tokens.end[i]]) - base
-        if before == i - 1 and tokens.row[before] == row:
-            out[row][-1][1] = end
-        else:
-            out[row].append([start, end])
-        before = i
+def _runs(hits: list[tuple[np.ndarray, ...]], n: int) -> list[list[list[int]]]:
+    """[start, end) of runs of offending tokens that follow each other, by row."""
+    out: list[list[list[int]]] = [[] for _ in range(n)]
+    before = (-1, -2)
+    for found in hits:
+        for row, number, start, end in zip(*(x.tolist() for x in found), strict=True):
+            if before == (row, number - 1):
+                out[row][-1][1] = end
+            else:
+                out[row].append([start, end])
+            before = row, number
     return out
 
 
