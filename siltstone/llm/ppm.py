@@ -38,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import LOWER, fold, mix, per_row, settled, slices, spans_hash, utf8, words
+from siltstone.llm.common import LOWER, SLICE_BYTES, fold, lean, mix, settled, slices, spans_hash, utf8, words
 
 #: Bytes of context; the packed gram of ORDER + 1 symbols of 9 bits must fit 63 bits.
 ORDER = 5
 GRAMS, HEAD = 20, 19
 #: Grams of an order that every task may hold (order 1 always fits), and that a task scores, about.
 SHARED, PART = 1 << 17, 100_000
+#: Keys that one row carries at most, about, before a long text is given several.
+MOST_KEYS = 1 << 16
 #: Symbols besides the 256 bytes.
 END, START, SYMBOLS = 256, 257, 257
 _BITS = 9
@@ -67,14 +69,30 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> tuple[np.nd
     symbol[body] = LOWER[data]
     seq = np.full(len(row) + n * order, START, _I)
     seq[inner] = symbol
-    m = len(seq) - order
-    if m <= 0:
-        return np.zeros(0, _I), row
+    return _packed(seq, order)[inner - order], row
+
+
+def _packed(seq: np.ndarray, order: int) -> np.ndarray:
+    """Every symbol of a sequence with the `order` symbols before it, as one number."""
+    m = max(0, len(seq) - order)
     key = seq[:m].copy()
     for k in range(1, order + 1):
         key <<= _BITS
         key |= seq[k : k + m]
-    return key[inner - order], row
+    return key
+
+
+def gram_windows(data: np.ndarray, offs: np.ndarray, order: int = ORDER, most: int = SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`grams` of a slice; one long text comes a window at a time."""
+    if len(offs) != 2 or len(data) <= most:
+        yield grams(data, offs, order)
+        return
+    for a in range(0, len(data), most):
+        b = min(len(data), a + most)
+        before = LOWER[data[max(0, a - order) : a]]
+        seq = np.concatenate((np.full(order - len(before), START, _I), before, LOWER[data[a:b]], np.full(int(b == len(data)), END, _I)))
+        key = _packed(seq, order)
+        yield key, np.zeros(len(key), np.int32)
 
 
 def suffix(order: int) -> int:
@@ -226,13 +244,13 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
         for batch in batches:
             for a, b in slices(batch.column(0)):
-                key, row = grams(*utf8(batch.column(0).slice(a, b - a)), order)
-                key |= np.where(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), _HELD, 0)[row]
-                fresh.append(np.unique(key, return_counts=True))
-                waiting += len(fresh[-1][0])
-                # What has come since is merged once it outweighs half of what is held.
-                if waiting > 200_000 + len(held[0]) // 2:
-                    held, fresh, waiting = merged(), [], 0
+                out = np.where(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False), _HELD, 0)
+                for key, row in gram_windows(*utf8(batch.column(0).slice(a, b - a)), order):
+                    fresh.append(np.unique(key | out[row], return_counts=True))
+                    waiting += len(fresh[-1][0])
+                    # What has come since is merged once it outweighs half of what is held.
+                    if waiting > 200_000 + len(held[0]) // 2:
+                        held, fresh, waiting = merged(), [], 0
         held_k, held_n = merged()
         out = held_k >= _HELD
         key, back = np.unique(held_k & (_HELD - 1), return_inverse=True)
@@ -312,6 +330,7 @@ def token_counts(texts: DataFrame) -> DataFrame:
 def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, counts, unigram and model scores of every document."""
     spark = docs.sparkSession
+    lean(spark)
     src = docs.select("doc_id", "text", (fold("doc_id", held_mod) == held_rem).alias("held_out"))
     learn = src.where(~F.col("held_out")).select("text")
     often, seldom, n_seldom = _split(train(src.select("text", "held_out"), order), 2**GRAMS)
@@ -328,11 +347,21 @@ def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = O
     at = np.argsort(keys)
     model = spark.sparkContext.broadcast((top, keys[at], ns[at], n_all, n_types, n_docs))
     kind = src.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "grams"]
+    names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "head", "n_rare", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (table, gram_scores), keys, ns, n_all, n_types, n_docs = model.value
         whole = math.log10(n_all + n_types + 1)
+
+        def batch_of(part: pa.RecordBatch, sums: list[np.ndarray], rare: list[np.ndarray], grams: list[np.ndarray], head: bool) -> pa.RecordBatch:
+            """rare and grams: values, then the row of each."""
+            n = part.num_rows
+            owner = np.concatenate((rare[1], grams[1]))
+            by = np.argsort(owner, kind="stable")
+            lists = _lists(np.concatenate((rare[0], grams[0]))[by], owner[by], n)
+            cols = [part.column(3), part.column(0), part.column(2), *map(pa.array, sums), pa.array(np.full(n, head)), pa.array(np.bincount(rare[1], minlength=n).astype(_I)), lists]
+            return pa.RecordBatch.from_arrays(cols, names)
+
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 part = batch.slice(a, b - a)
@@ -346,18 +375,28 @@ def scores(docs: DataFrame, held_mod: int = 7, held_rem: int = 2, order: int = O
                 # The end of a text is a token of every text.
                 n_tokens = np.bincount(row, minlength=n) + 1
                 base = np.bincount(row, np.log10(count + 1.0), n) + math.log10(n_docs + 1) - n_tokens * whole
-                key, owner = grams(data, offs, order)
-                where = table.find(key)
-                seen = where >= 0
-                model_score = np.bincount(owner[seen], gram_scores[where[seen]], n)
-                n_known = np.bincount(row[known], minlength=n) + (n_docs > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(n_tokens.astype(_I)), pa.array(n_known.astype(_I)), pa.array(base), pa.array(model_score), _lists(token[~known], row[~known], n), _lists(key[~seen], owner[~seen], n)], names
-                )
-
-    out = src.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>, grams array<long>")
-    if rare or n_seldom:
-        out = _with_rare(out, tokens.where(F.col("n") < least), seldom)
+                n_known = (np.bincount(row[known], minlength=n) + (n_docs > 0)).astype(_I)
+                rare, model_score = [token[~known], row[~known]], np.zeros(n)
+                sums = [n_tokens.astype(_I), n_known, base, model_score]
+                nothing = [np.zeros(0, _I), np.zeros(0, _I)]
+                held: list[tuple[np.ndarray, np.ndarray]] = []
+                for key, owner in gram_windows(data, offs, order):
+                    where = table.find(key)
+                    seen = where >= 0
+                    model_score += np.bincount(owner[seen], gram_scores[where[seen]], n)
+                    held.append((key[~seen], owner[~seen]))
+                    # One long text leaves in several rows, the last of which is the document's.
+                    if n == 1 and len(held[-1][0]) + len(rare[0]) > MOST_KEYS:
+                        for i in range(0, len(rare[0]), MOST_KEYS):
+                            yield batch_of(part, sums, [x[i : i + MOST_KEYS] for x in rare], nothing, False)
+                        yield batch_of(part, sums, nothing, list(held.pop()), False)
+                        rare = nothing
+                yield batch_of(part, sums, rare, [np.concatenate([h[i] for h in held]) if held else nothing[i] for i in range(2)], True)
+
+    kind = src.schema["doc_id"].dataType.simpleString()
+    numbered = src.withColumn("row", F.monotonically_increasing_id())
+    out = numbered.mapInArrow(run, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, head boolean, n_rare long, keys array<long>")
+    out = _with_rare(settled(out), tokens.where(F.col("n") < least), seldom) if rare or n_seldom else out.where("head")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
@@ -370,12 +409,11 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
 
 def _with_rare(scored: DataFrame, rare: DataFrame, seldom: DataFrame) -> DataFrame:
     """Adds what occurrences of rare training tokens and of seldom grams bring, by
-    joins on the token or gram and back on the document's row."""
-    scored = settled(scored.withColumn("row", F.monotonically_increasing_id()))
-    each = scored.select("row", F.size("rare").alias("n_rare"), F.posexplode(F.concat("rare", "grams")).alias("pos", "key")).select("row", "key", (F.col("pos") >= F.col("n_rare")).alias("is_gram"))
+    joins on the token or gram and back on the number of the row."""
+    each = scored.select("row", "n_rare", F.posexplode("keys").alias("pos", "key")).select("row", "key", (F.col("pos") >= F.col("n_rare")).alias("is_gram"))
     brings = rare.select(F.col("token").alias("key"), F.lit(False).alias("is_gram"), F.log10(F.col("n") + 1.0).alias("gain")).unionByName(seldom.select(F.col("gram").alias("key"), F.lit(True).alias("is_gram"), F.col("score").alias("gain")))
     gain = each.join(brings, ["key", "is_gram"]).groupBy("row").agg(F.count_if(~F.col("is_gram")).alias("more"), F.sum(F.when(~F.col("is_gram"), F.col("gain"))).alias("gain"), F.sum(F.when(F.col("is_gram"), F.col("gain"))).alias("gram_gain"))
-    out = scored.drop("rare", "grams").join(gain, "row", "left")
+    out = scored.where("head").drop("keys").join(gain, "row", "left")
     for to, add in (("n_known", "more"), ("base_score", "gain"), ("score", "gram_gain")):
         out = out.withColumn(to, F.col(to) + F.coalesce(add, F.lit(0)))
     return out
@@ -395,8 +433,7 @@ def code_lengths(docs: DataFrame, adaptive: bool = True, trie: Trie | None = Non
                 if adaptive:
                     got = np.array([adaptive_length(data[x:y], order) for x, y in zip(offs, offs[1:], strict=False)])
                 else:
-                    key, owner = grams(data, offs, sent.value.order)
-                    got = np.bincount(owner, sent.value.score(key), part.num_rows)
+                    got = sum(np.bincount(owner, sent.value.score(key), part.num_rows) for key, owner in gram_windows(data, offs, sent.value.order))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(-got / math.log10(2))], ["doc_id", "bits"])
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, bits double")

@@ -111,3 +111,15 @@ def test_rare_grams_count(spark, monkeypatch, most, shared):
                     nexts[s] += 7_000_000 - 4
     for i, t in texts.items():
         assert math.isclose(got[i], short.score(t), rel_tol=1e-9), i
+
+
+def test_windows_and_rows_of_long_texts_do_not_matter(docs, monkeypatch):
+    want = sorted(map(str, ppm.scores(docs.select("doc_id", "text")).collect()))
+    monkeypatch.setattr(ppm, "GRAMS", 6)
+    monkeypatch.setattr(ppm, "HEAD", 3)
+    monkeypatch.setattr(ppm, "MOST_KEYS", 300)
+    monkeypatch.setattr(ppm.gram_windows, "__defaults__", (ppm.ORDER, 500))
+    got = sorted(map(str, ppm.scores(docs.select("doc_id", "text")).collect()))
+    for a, b in zip(want, got, strict=True):
+        x, y = ([p.split("=")[1].rstrip(")") for p in row.split(", ")] for row in (a, b))
+        assert x[:5] == y[:5] and all(abs(float(p) - float(q)) < 1e-6 * max(1, abs(float(p))) for p, q in zip(x[5:], y[5:], strict=True))
