@@ -13,8 +13,9 @@ node that weighs as many documents; from there on only nodes are looked at.
 3. Shingle sets of clustered nodes, and of them alone, are made again from the
    texts, and each cluster's candidates verified exactly.
 
-Buckets and clusters of more than BLOCK nodes are dealt out as pairs of blocks, so
-no task holds more than two blocks and no pair is left out.  What leaves a task are
+Buckets and clusters of more than a block of nodes are dealt out as pairs of blocks,
+clusters by the sizes of their sets, so that sizes that can't be at the threshold
+never meet; no task holds more than two blocks, and no pair is left out.  What leaves a task are
 counts and spanning edges, linear in the nodes, never pairs.
 
 Result: a row a document with the class of the component of links it is in (least
@@ -26,13 +27,14 @@ documents; extra columns don't matter.  Nodes are 64-bit hashes of word sequence
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import GOLD, LOWER, lean, mix, settled, slices, spans_hash, utf8, words
@@ -42,8 +44,9 @@ from siltstone.llm.quality import beta_cdf
 WORDS, THRESHOLD = 5, 0.8
 ROWS, BANDS, STEP, TOLERANCE = 4, 28, 16, 1e-6
 HASHES = ROWS * BANDS
-BLOCK = 256
-#: Bits of the filter that spares texts outside clusters the second pass.
+#: Nodes of a cell's block at most, and bytes of their shingle sets, about.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: Binary digits of the size of the filter that spares texts outside clusters the second pass, in bits: 8 MB at most.
 FILTER_BITS = 26
 _U, _I = np.uint64, np.int64
 
@@ -69,11 +72,15 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     short = (place == 0) & (count[row] < WORDS)
     take = np.flatnonzero(full | short)
     acc = np.zeros(len(take), _U)
-    for k in range(WORDS):
-        at = np.minimum(take + k, len(w) - 1)
-        inside = take + k < first[row[take] + 1]
-        acc = acc * _U(0x9E3779B97F4A7C15) + np.where(inside, w[at] | _U(1), _U(0))
-    return mix(acc), np.concatenate(([0], np.cumsum(np.bincount(row[take], minlength=n)))), node.view(_I)
+    for a in range(0, len(take), 1 << 17):
+        part, some = acc[a : a + (1 << 17)], take[a : a + (1 << 17)]
+        ends = first[row[some] + 1]
+        for k in range(WORDS):
+            inside = some + k < ends
+            part *= _U(0x9E3779B97F4A7C15)
+            part += np.where(inside, w[np.minimum(some + k, len(w) - 1)] | _U(1), _U(0))
+        part[:] = mix(part)
+    return acc, np.concatenate(([0], np.cumsum(np.bincount(row[take], minlength=n)))), node.view(_I)
 
 
 def signatures(sh: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -168,15 +175,38 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.where("n_shingles > 0").select("node", "sig").mapInArrow(run, "bucket long, node long")
 
 
-def _cells(members: DataFrame, group: str, *more: str) -> DataFrame:
-    """(cell, node, side, ...) from (group, node, n, ...): groups of up to BLOCK
-    nodes are one cell, larger ones a cell for each pair of blocks."""
+def _cells(members: DataFrame, group: str) -> DataFrame:
+    """(cell, node, side) from (group, node, n): groups of up to BLOCK nodes are one
+    cell, larger ones a cell for each pair of blocks."""
     m = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     m = m.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     cell = F.xxhash64(F.col(group), F.least("mine", "other"), F.greatest("mine", "other"))
-    side = F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") > F.col("other")).cast("int"))
-    return m.select(cell.alias("cell"), "node", side.alias("side"), *more)
+    return m.select(cell.alias("cell"), "node", _side("mine", "other").alias("side"))
+
+
+def _side(mine: str, other: str) -> Column:
+    """2 in a block's own cell, else which of the two blocks."""
+    return F.when(F.col(mine) == F.col(other), 2).otherwise((F.col(mine) > F.col(other)).cast("int"))
+
+
+def _sized_cells(found: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(cell, node, side) from (node, root) and (node, size).  A cluster whose sets
+    fit into a block is one cell.  Of a larger one, sets are dealt by size: sizes of
+    two texts at the threshold are of one class (a power of 1 / THRESHOLD) or of two
+    that adjoin, so only blocks of such classes meet; a block holds BLOCK_BYTES of
+    sets, about, or one set."""
+    m = found.join(sizes, "node").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / math.log(1 / THRESHOLD) + 1e-9).cast("int"))
+    per = m.groupBy("root", "class").agg(F.count("node").alias("n"), F.sum("size").alias("bytes"))
+    whole = per.groupBy("root").agg(F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.collect_list(F.struct("class", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))).alias("per"))
+    # A row a cluster; its classes are few, as they are powers.
+    one = (F.col("all") <= BLOCK) & (F.col("all_bytes") * 8 <= BLOCK_BYTES)
+    m = m.join(whole.select("root", one.alias("one"), F.map_from_entries("per").alias("per")), "root")
+    blocks = lambda c: F.coalesce(F.element_at(F.col("per"), c), F.lit(0))
+    m = m.withColumn("mine", F.when(F.col("one"), F.struct(F.lit(0).alias("class"), F.lit(0).alias("block"))).otherwise(F.struct(F.col("class"), F.pmod(F.xxhash64("node", F.lit(5)), blocks(F.col("class"))).cast("int").alias("block"))))
+    meets = F.flatten(F.transform(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1), lambda c: F.when(blocks(c) > 0, F.transform(F.sequence(F.lit(0), blocks(c) - 1), lambda b: F.struct(c.alias("class"), b.alias("block")))).otherwise(F.array().cast("array<struct<class:int,block:int>>"))))
+    m = m.withColumn("other", F.explode(F.when(F.col("one"), F.array(F.col("mine"))).otherwise(meets)))
+    return m.select(F.xxhash64("root", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"), "node", _side("mine", "other").alias("side"))
 
 
 def _small_once(members: DataFrame) -> DataFrame:
@@ -215,37 +245,47 @@ def clusters(nodes: DataFrame) -> DataFrame:
 
 
 def _filter_of(found: DataFrame) -> np.ndarray:
-    """Bit set of the clustered nodes' hashes, of a fixed size."""
+    """Bits at the places of the clustered nodes' hashes, 16 a node or so, packed into
+    words of 64; each task sends words, not nodes."""
+    bits = min(FILTER_BITS, max(6, (16 * found.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_place(batch.column(0).to_numpy()) >> 3)
-            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+            at = _place(batch.column(0).to_numpy(), bits)
+            at = np.unique(at)
+            first = np.flatnonzero(np.concatenate(([True], at[1:] >> 6 != at[:-1] >> 6))) if len(at) else at
+            word = np.bitwise_or.reduceat(_U(1) << (at & 63).astype(_U), first) if len(at) else at.astype(_U)
+            yield pa.RecordBatch.from_arrays([pa.array(at[first] >> 6), pa.array(word.view(_I))], ["at", "word"])
+
+    out = np.zeros(1 << (bits - 6), _I)
+    got = found.select("node").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    out[got["at"].to_numpy()] = got["word"].to_numpy()
+    return out.view(_U)
+
 
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    at = found.select("node").mapInArrow(run, "at long").distinct().toArrow()["at"].to_numpy()
-    bits[at] = 1
-    return bits
+def _place(node: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(node.view(_U) if node.dtype == _I else node) >> _U(64 - bits)).astype(_I)
 
 
-def _place(node: np.ndarray) -> np.ndarray:
-    return (mix(node.view(_U) if node.dtype == _I else node) >> _U(64 - FILTER_BITS)).astype(_I)
+def _held(words: np.ndarray, node: np.ndarray) -> np.ndarray:
+    at = _place(node, len(words).bit_length() + 5)
+    return (words[at >> 6] >> (at & 63).astype(_U) & _U(1)) > 0
 
 
 def _sets(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, set) for the nodes of clusters, set: sorted shingle hashes."""
+    """(node, set, size) for the nodes of clusters, set: sorted shingle hashes."""
     sent = docs.sparkSession.sparkContext.broadcast(_filter_of(found))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 sh, offs, node = shingles(*utf8(batch.column(0).slice(a, b - a)))
-                rows = np.flatnonzero(sent.value[_place(node) >> 3])
+                rows = np.flatnonzero(_held(sent.value, node))
                 if len(rows):
                     sets = [np.unique(sh[offs[i] : offs[i + 1]]).tobytes() for i in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(sets, pa.binary())], ["node", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(sets, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64())], ["node", "set", "size"])
 
-    made = docs.select("text").mapInArrow(run, "node long, set binary")
+    made = docs.select("text").mapInArrow(run, "node long, set binary, size long")
     return made.join(found.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -286,9 +326,9 @@ def classes(docs: DataFrame) -> DataFrame:
     by_node = sketched.groupBy("node").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     nodes = settled(by_node)
     found = settled(clusters(nodes))
-    sizes = found.groupBy("root").agg(F.count("node").alias("n"))
-    rows = _sets(docs, found).join(found.join(sizes, "root"), "node").join(nodes.select("node", "weight"), "node")
-    checked = settled(_cells(rows, "root", "weight", "set").groupBy("cell").applyInPandas(_verified, "u long, v long, links long"))
+    rows = settled(_sets(docs, found).join(nodes.select("node", "weight"), "node"))
+    cells = _sized_cells(found, rows.select("node", "size")).join(rows.drop("size"), "node")
+    checked = settled(cells.groupBy("cell").applyInPandas(_verified, "u long, v long, links long"))
     links = checked.where("u = v").groupBy("u").agg(F.sum("links").alias("links")).withColumnRenamed("u", "node")
     linked = components(checked.where("u != v").select("u", "v"))
     plain = nodes.select("node", "weight", "least").join(linked, "node", "left").join(links, "node", "left")
@@ -313,7 +353,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return stay.dropDuplicates(["__n", "__d"]).select(*cols)
 
 
-def low(column: str):
+def low(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(2**63)))
 
 

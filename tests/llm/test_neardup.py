@@ -62,6 +62,7 @@ def corpus(seed=1):
 @pytest.mark.parametrize("block", [256, 8])
 def test_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", block * 200)
     rows = corpus()
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, node string, class_id long").repartition(4)
     got = sorted((tuple(r) for r in neardup.digests(df).collect()), key=str)
