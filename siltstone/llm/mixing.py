@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settled
+from siltstone.llm.common import ranked, settled
 
 #: Words, fixed by the contract.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,23 +51,23 @@ def sizes(docs: DataFrame) -> DataFrame:
 def targets(per_document: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES) -> DataFrame:
     """source, source_size, target.  Where weights ask a source for more than
     `most` times its size, it stops there and the others share the excess: the
-    level L with sum(min(most * size, L * weight)) = total, found by running sums
-    over the sources in the order in which they stop.  The window spans sources,
-    not documents."""
+    level L with sum(min(most * size, L * weight)) = total.  It rises from total /
+    sum of weights, each round by what the sources that stop leave over, until none
+    stops any more; a round sums up the table of sources.  All sums are whole
+    numbers, so reruns agree."""
     by = per_document.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (rank % len(weights) + 1).cast("int"))
-    s = by.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(most))
-    stops = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = stops.rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("spent", F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-    everything = Window.partitionBy()
-    s = s.withColumn("left_w", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("total", F.sum("source_size").over(everything))
-    s = s.withColumn("level", (F.col("total") - F.col("spent")) / F.col("left_w"))
-    # The level is right at the first source that it doesn't stop.
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.col("cap") / F.col("w"), F.col("level")))).over(everything)["level"])
-    return s.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).cast("double").alias("target"))
+    s = ranked(by, F.col("source").asc_nulls_last(), name="rank")
+    w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    s = settled(s.select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")))
+    total, left = (float(x or 0) for x in s.agg(F.sum("source_size"), F.sum("w")).first())
+    level, stopped = total / left if left else 0.0, -1
+    while left:
+        stops = F.col("cap") <= F.col("w") * level
+        n, spent, left = s.agg(F.count_if(stops), F.sum(F.when(stops, F.col("cap"))), F.sum(F.when(~stops, F.col("w")))).first()
+        if n == stopped or not left:
+            break
+        level, stopped = (total - (spent or 0.0)) / left, n
+    return s.select("source", "source_size", F.least(F.col("cap"), F.col("w") * level).alias("target"))
 
 
 def _draw(state: int) -> tuple[int, float]:
@@ -137,7 +137,7 @@ def takes(per_document: DataFrame) -> DataFrame:
     spark = per_document.sparkSession
     per_document = settled(per_document)
     goal = targets(per_document)
-    n_docs, n_sources = per_document.count(), per_document.select("source").distinct().count()
+    n_docs, n_sources = per_document.count(), goal.count()
     goal = goal.select(F.col("source").alias("s"), "source_size", "target")
     goal = F.broadcast(goal) if n_sources <= BROADCAST_SOURCES else goal
     rows = per_document.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
