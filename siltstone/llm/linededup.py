@@ -114,9 +114,11 @@ def _stream(least_docs: int):
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc, body, pos, n_lines of every line that goes."""
     spark = docs.sparkSession
+    lean(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", F.desc("doc"), "body", "pos"]
-    lines = long_lines(docs, least_chars).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Ranges are found by a sample, which would split all texts once more.
+    lines = settled(long_lines(docs, least_chars)).repartitionByRange(n, *order).sortWithinPartitions(*order)
     marks = settled(lines.mapInArrow(_stream(least_docs), _MARKS))
     edge = marks.where(~F.col("decided"))
     verdict = edge.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= least_docs)
