@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, langid, linededup, mixing, neardup
-from siltstone.llm.common import fold, shipped
+from siltstone.llm.common import fold, shared_folder, shipped
 from siltstone.llm.registry import _vocabulary
 
 
@@ -45,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with the text that they decode to."""
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text", "lang", "source"), _vocabulary()).drop("text"), _vocabulary())
+    return bpe.encode(docs.select("doc_id", "lang", "source", "text"), _vocabulary(), decoded="decoded").drop("text")
 
 
 STAGES = [("language", language), ("lines", lines), ("copies", copies), ("mix", mix), ("tokens", tokens)]
@@ -56,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shipped(spark).read.parquet(f"{sf_dir}/documents.parquet")
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/siltstone-checkpoints"
-    where = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
