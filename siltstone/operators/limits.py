@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.plans.lineage import settled
+
 
 def byte_budget(files: DataFrame, limit: int, parts: int | None = None) -> DataFrame:
     """Adds `kept`: whether the row is in the longest prefix, by path, whose sizes
-    add up to `limit` at most.  Rows are range-partitioned by path and summed per
-    range first, so the running sum never needs all rows in one task."""
+    add up to `limit` at most.  Paths and sizes alone are dealt to ranges, once; the
+    ranges' sums, one number each, tell the range in which the budget ends, and a
+    running sum over that range the last path that fits.  The rows themselves are
+    only compared with it, so they don't move.  Rows of one path stand or fall
+    together; a null size is 0."""
     n = parts or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = files.repartitionByRange(n, "relative").withColumn("__part", F.spark_partition_id())
-    totals = ranged.groupBy("__part").agg(F.sum("bytes").alias("__bytes"))
-    before = totals.withColumn("__before", F.coalesce(F.sum("__bytes").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    inside = Window.partitionBy("__part").orderBy("relative").rowsBetween(Window.unboundedPreceding, 0)
-    # One row a partition: a bounded side.
-    out = ranged.join(F.broadcast(before), "__part").withColumn("kept", F.sum("bytes").over(inside) + F.col("__before") <= limit)
-    return out.drop("__part", "__before")
+    sizes = files.groupBy("relative").agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    ranged = settled(sizes.repartitionByRange(n, "relative").withColumn("part", F.spark_partition_id()))
+    spent, last, cut = 0, None, None
+    for r in sorted(ranged.groupBy("part").agg(F.sum("bytes").alias("bytes"), F.max("relative").alias("last")).collect(), key=lambda r: r["part"]):
+        if spent + r["bytes"] > limit:
+            cut = r["part"]
+            break
+        spent, last = spent + r["bytes"], r["last"]
+    if cut is None:
+        return files.withColumn("kept", F.lit(True))
+    here = ranged.where(F.col("part") == cut).withColumn("sum", F.sum("bytes").over(Window.partitionBy("part").orderBy("relative").rowsBetween(Window.unboundedPreceding, 0)))
+    fits = here.where(F.col("sum") <= limit - spent).agg(F.max("relative")).first()[0]
+    last = fits if fits is not None else last
+    return files.withColumn("kept", F.lit(False) if last is None else F.col("relative") <= F.lit(last))
 
 
 def over_budget(budgeted: DataFrame, limit: int) -> DataFrame:
