@@ -1,8 +1,8 @@
 """Hierarchical ignore rules: parsing, and lookup as expressions or as a join.
 
 Rule text is gitignore-like.  Parsed rules become one `coalesce(when ...)` chain
-in falling precedence (no shuffle, first hit wins); above EXPRESSION_RULES rules
-they become a small relation that is joined with the paths.
+in falling precedence (no shuffle, first hit wins).  `decide_by_join` is the same
+lookup for rule sets too large for an expression, as a join with a table of rules.
 
 A rule file applies strictly below its own directory.  Within a file the last
 match wins; among files the source kind decides, then the deeper directory, then
@@ -22,8 +22,6 @@ from siltstone.functions.globs import as_bytes, ascii_fold, ascii_lower, glob_co
 
 #: Source kinds from the lowest precedence to the highest; fixed values.
 SOURCES = ("GitGlobal", "GitExclude", "GitIgnore", "DotIgnore", "Custom", "Explicit", "Override")
-#: Rules up to which lookup is one expression.
-EXPRESSION_RULES = 300
 _META = set("*?[{\\")
 
 
@@ -56,6 +54,12 @@ class RuleSet:
     rules: list[Rule] = field(default_factory=list)
     evidence: list[SourceEvidence] = field(default_factory=list)
     errors: list[tuple[str, str]] = field(default_factory=list)
+    #: Where the paths to be matched lie below the folder that bases count from.
+    prefix: str = ""
+
+    def located(self, path: Column) -> Column:
+        """A path as the rules' bases see it."""
+        return F.concat(F.lit(self.prefix + "/"), path) if self.prefix else path
 
     def add(self, content: bytes | str, source: str, location: str, base: str = "", layer: int = 0, case_insensitive: bool = False) -> RuleSet:
         raw = content.encode() if isinstance(content, str) else content
@@ -195,16 +199,29 @@ def repository_match(rules: RuleSet, overrides: RuleSet, skip_hidden: bool, path
     """None, Ignore, Include, OverrideIgnore, OverrideInclude or Hidden."""
     override = decide_override(overrides.rules, path, name, is_dir, dialect)
     hidden = F.when(name.startswith("."), "Hidden") if skip_hidden else F.lit(None).cast("string")
-    return F.coalesce(override, decide(rules.rules, path, name, is_dir, dialect), hidden, F.lit("None"))
+    return F.coalesce(override, decide(rules.rules, rules.located(path), name, is_dir, dialect), hidden, F.lit("None"))
 
 
 def ancestor_match(rules: Iterable[Rule], path: Column, ancestors: Column, name: Column, is_dir: Column, dialect: str = "flat") -> Column:
-    """Decision for a path on its own: its own rule, else that of its nearest
-    ancestor directory which has one."""
-    rules = list(rules)
+    """Decision for a path on its own.  Layers (the rules of one source kind in one
+    folder) are asked in falling precedence.  The first that has a rule for the path
+    itself decides; so does the first whose nearest ruled ancestor is ignored, unless
+    a layer before it has included an ancestor, which is what is left in the end."""
+    layers: dict[tuple[str, str], list[Rule]] = {}
+    for r in sorted(rules, key=lambda r: r.precedence, reverse=True):
+        layers.setdefault((r.source, r.base), []).append(r)
     named = lambda d: F.element_at(F.split(d, "/"), -1)
-    found = F.filter(F.transform(F.reverse(ancestors), lambda d: decide(rules, d, named(d), F.lit(True), dialect)), lambda a: a.isNotNull())
-    return F.coalesce(decide(rules, path, name, is_dir, dialect), F.get(found, 0))
+
+    def nearest(own: list[Rule]) -> Column:
+        ruled = F.transform(F.reverse(ancestors), lambda d: decide(own, d, named(d), F.lit(True), dialect))
+        return F.get(F.filter(ruled, lambda a: a.isNotNull()), 0)
+
+    steps, included = [], F.lit(False)
+    for own in layers.values():
+        exact, above = decide(own, path, name, is_dir, dialect), nearest(own)
+        steps += [exact, F.when(~included & (above == "Ignore"), F.lit("Ignore"))]
+        included = included | F.coalesce(exact.isNull() & (above == "Include"), F.lit(False))
+    return F.coalesce(*steps, F.when(included, F.lit("Include"))) if steps else F.lit(None).cast("string")
 
 
 def relation(spark: SparkSession, rules: Iterable[Rule], dialect: str = "flat") -> DataFrame:

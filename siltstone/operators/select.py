@@ -52,7 +52,7 @@ def directory_skip(path: Column, options: ScanOptions, rules: RuleSet, overrides
 
 def classify(entries: DataFrame, options: ScanOptions, rules: RuleSet | None = None, overrides: RuleSet | None = None) -> DataFrame:
     rules, overrides = rules or RuleSet(), overrides or _overrides(options)
-    rules = RuleSet([r for r in rules.rules if options.ignore_policy.allows(r.source)], rules.evidence, rules.errors)
+    rules = RuleSet([r for r in rules.rules if options.ignore_policy.allows(r.source)], rules.evidence, rules.errors, rules.prefix)
     path, walk = F.col("relative"), options.walk
     is_dir = F.col("kind") == "dir"
     above = ancestors(path)
@@ -133,7 +133,7 @@ class SelectionMatcher:
 
     def ignored(self, paths: DataFrame) -> DataFrame:
         """Adds `action`, what the rules alone say, ancestors included."""
-        path, is_dir = F.col("relative"), F.col("kind") == "dir"
+        path, is_dir = self.rules.located(F.col("relative")), F.col("kind") == "dir"
         return paths.withColumn("action", ancestor_match(self.rules.rules, path, ancestors(path), base_name(path), is_dir, self.options.dialect))
 
     def overridden(self, paths: DataFrame) -> DataFrame:

@@ -94,6 +94,10 @@ def load_rules(root: str, options: ScanOptions, rule_files: Iterable[str]) -> tu
     repo = enclosing_repository(root)
     git_ok = not policy.require_git or repo is not None
     git_dir = git_directory(repo) if repo else None
+    # Bases count from the repository's root where the rules above the scan apply.
+    home = repo if policy.parent_rules and repo else os.path.realpath(root)
+    steps = [x for x in os.path.relpath(os.path.realpath(root), home).split("/") if x != "."]
+    rules.prefix = "/".join(steps)
 
     def read(path: str, kind: str, location: str, base: str, layer: int) -> None:
         nonlocal complete
@@ -104,49 +108,45 @@ def load_rules(root: str, options: ScanOptions, rule_files: Iterable[str]) -> tu
         except OSError as e:
             rules.errors.append((location, str(e)))
             complete = False
+        if rules.errors and options.walk.error_policy == "Abort":
+            raise OSError(f"{rules.errors[0][0]}: {rules.errors[0][1]}")
 
     if policy.git_global and git_ok and (path := global_excludes(git_dir=git_dir)) and os.path.isfile(path):
-        read(path, "GitGlobal", path, "", 0)
+        read(path, "GitGlobal", "<git-global>", "", 0)
         portable = False
     if policy.git_exclude and git_ok and git_dir and os.path.isfile(exclude := os.path.join(git_dir, "info/exclude")):
         read(exclude, "GitExclude", ".git/info/exclude", "", 0)
+        portable = False
     layer = 0
-    if policy.parent_rules and repo and os.path.realpath(root) != repo:
-        # Rules of the directories between the repository's root and the scan's.
-        rel = os.path.relpath(os.path.realpath(root), repo).split("/")
-        for k in range(len(rel)):
-            folder = os.path.join(repo, *rel[:k])
-            for name in options.ignore_files:
-                if os.path.isfile(os.path.join(folder, name)) and (kind := source_for_name(name)) and policy.allows(kind) and (kind != "GitIgnore" or git_ok):
-                    layer += 1
-                    above = "/".join(rel[k:])
-                    _from_above(rules, os.path.join(folder, name), kind, "/".join([*rel[:k], name]), above, layer - 1000, ci)
+    for k in range(len(steps)):
+        # Rules of the folders between the repository's root and the scan's.
+        for name in options.ignore_files:
+            at = "/".join([*steps[:k], name])
+            if os.path.isfile(os.path.join(home, at)) and (kind := source_for_name(name)) and policy.allows(kind) and (kind != "GitIgnore" or git_ok):
+                layer += 1
+                read(os.path.join(home, at), kind, at, "/".join(steps[:k]), layer)
     order = {n: i for i, n in enumerate(options.ignore_files)}
     for path in sorted(rule_files, key=lambda p: (p.count("/"), p.rpartition("/")[0], order.get(p.rpartition("/")[2], 99))):
         base, _, name = path.rpartition("/")
         kind = source_for_name(name)
         if name in order and policy.allows(kind) and (kind != "GitIgnore" or git_ok):
             layer += 1
-            read(os.path.join(root, path), kind, path, base, layer)
+            read(os.path.join(root, path), kind, "/".join([*steps, path]), "/".join([*steps, *([base] if base else [])]), layer)
     for k, path in enumerate(policy.explicit_files):
         full = os.path.realpath(os.path.join(root, path))
-        inside = full.startswith((repo or os.path.realpath(root)) + "/")
+        inside = full.startswith(home.rstrip("/") + "/")
         portable &= inside
-        read(full, "Explicit", os.path.relpath(full, repo or os.path.realpath(root)) if inside else full, "", k)
+        read(full, "Explicit", os.path.relpath(full, home) if inside else full, "", k)
     return rules, portable, complete and not rules.errors
 
 
-def _from_above(rules: RuleSet, path: str, kind: str, location: str, below: str, layer: int, ci: bool) -> None:
-    """Rules of a directory above the scan root, rewritten for paths below it: a
-    path-scoped rule applies to what is left of its pattern after the root."""
-    from dataclasses import replace
-
-    own = RuleSet().add(Path(path).read_bytes(), kind, location, "", layer, ci)
-    rules.evidence.extend(own.evidence)
-    rules.errors.extend(own.errors)
-    for r in own.rules:
-        if r.scope != "Anywhere":
-            if not r.pattern.startswith(below + "/"):
-                continue
-            r = replace(r, pattern=r.pattern[len(below) + 1 :], scope="Anchored")
-        rules.rules.append(replace(r, index=len(rules.rules)))
+def known_rule_files(root: str, options: ScanOptions, sources: Iterable) -> list[str]:
+    """Paths below the root of the rule files that a report's evidence names."""
+    repo = enclosing_repository(root)
+    home = repo if options.ignore_policy.parent_rules and repo else os.path.realpath(root)
+    out = []
+    for s in sources:
+        at = os.path.relpath(os.path.join(home, s.location), os.path.realpath(root))
+        if s.kind in ("GitIgnore", "DotIgnore", "Custom") and not at.startswith("../"):
+            out.append(at)
+    return out

@@ -10,8 +10,8 @@ from siltstone.operators.filetypes import NamedFileTypes
 from siltstone.operators.rules import RuleSet, parse_rule
 from siltstone.options import IgnorePolicy, ScanOptions
 
-PATTERNS = ["*.rs", "!keep.rs", "/top", "a/", "b/*.go", "*tmp", "doc*", "!doc1*", "**/x.go", "a/**/c", "[ab].rs", "/*.go", "c/d", "!c/d/e.rs", "k?ep.*", "*", "!a/", "{x,y}.go"]
-NAMES = ["keep.rs", "a.rs", "x.go", "y.go", "top", "doc1", "doc2", "tmp", "c", "xtmp", "e.rs"]
+PATTERNS = ["*.rs", "!oak.rs", "/elm", "a/", "b/*.go", "*fir", "yew*", "!yew1*", "**/x.go", "a/**/c", "[ab].rs", "/*.go", "c/d", "!c/d/e.rs", "o?k.*", "*", "!a/", "{x,y}.go"]
+NAMES = ["oak.rs", "a.rs", "x.go", "y.go", "elm", "yew1", "yew2", "fir", "c", "xfir", "e.rs"]
 DIRS = ["", "a/", "b/", "a/b/", "c/d/", "a/x/c/"]
 
 
@@ -83,8 +83,59 @@ def test_precedence_and_policy(spark):
     assert pick(ScanOptions(ignore_policy=IgnorePolicy(dot_ignore=False, custom_ignore=False))) == set()
 
 
+def layered(layers, path, is_dir):
+    """The decision layer by layer, from the highest on, by hand."""
+    parts, included = path.split("/"), False
+    above = ["/".join(parts[:k]) for k in range(len(parts) - 1, 0, -1)]
+    for own in layers:
+        exact = slow_decide(own, path, is_dir)
+        if exact:
+            return exact
+        near = next((a for a in (slow_decide(own, d, True) for d in above) if a), None)
+        if near == "Ignore" and not included:
+            return "Ignore"
+        included |= near == "Include"
+    return "Include" if included else None
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ancestors_layer_by_layer(spark, seed):
+    r = random.Random(seed)
+    rs = RuleSet()
+    order = [("GitExclude", ""), ("GitIgnore", ""), ("GitIgnore", "a"), ("DotIgnore", ""), ("Custom", "a")]
+    for source, base in order:
+        rs.add("\n".join(r.sample(PATTERNS, 5)), source, base + "/" + source, base)
+    paths = sorted({d + n for d in DIRS for n in NAMES})
+    df = spark.createDataFrame([(p, k) for p in paths for k in ("file", "dir")], "relative string, kind string")
+    got = {(x["relative"], x["kind"]): x["action"] for x in select.SelectionMatcher(ScanOptions(), rs).ignored(df).collect()}
+    layers = [[x for x in rs.rules if (x.source, x.base) == key] for key in reversed(order)]
+    assert got == {(p, k): layered(layers, p, k == "dir") for p in paths for k in ("file", "dir")}
+    rs = RuleSet().add("!oak.rs\n", "GitIgnore", ".gitignore").add("out/\n", "DotIgnore", ".ignore")
+    one = spark.createDataFrame([("out/oak.rs", "file")], "relative string, kind string")
+    assert select.SelectionMatcher(ScanOptions(), rs).ignored(one).first()["action"] == "Ignore"
+
+
+def test_byte_budget(spark):
+    from itertools import accumulate
+
+    from siltstone.operators import limits
+
+    n = 120_000
+    path, size = F.concat(F.lit("d"), F.col("id") * 7919 % 101, F.lit("/f"), F.col("id")), F.xxhash64("id") % 50 + 50
+    df = spark.range(n, numPartitions=7).select(path.alias("relative"), size.alias("bytes"), F.col("id").alias("extra"), F.sha2(F.col("id").cast("string"), 256).alias("more"))
+    rows = sorted((r["relative"], r["bytes"]) for r in df.select("relative", "bytes").collect())
+    total = list(accumulate(b for _, b in rows))
+    for limit in (0, total[0], total[n // 3], total[-1] - 1, total[-1]):
+        for _ in range(2):
+            got = limits.byte_budget(df, limit)
+            assert got.columns == [*df.columns, "kept"]
+            assert got.where("kept").count() == sum(t <= limit for t in total)
+        assert {r["relative"] for r in got.where("kept").select("relative").collect()} == {p for (p, _), t in zip(rows, total, strict=True) if t <= limit}
+    assert limits.byte_budget(df.limit(0), 5).count() == 0
+
+
 def test_cascade_order(spark):
-    rows = [("d", "dir", None), ("d/target", "dir", None), ("d/target/x.rs", "file", 1), ("big.rs", "file", 99), ("l", "symlink", 1), (".h.rs", "file", 1), ("x.PY", "file", 1), ("keep/target/y.py", "file", 1), ("fifo", "other", None)]
+    rows = [("d", "dir", None), ("d/target", "dir", None), ("d/target/x.rs", "file", 1), ("big.rs", "file", 99), ("l", "symlink", 1), (".h.rs", "file", 1), ("x.PY", "file", 1), ("fir/target/y.py", "file", 1), ("fifo", "other", None)]
     df = spark.createDataFrame(rows, "relative string, kind string, bytes long")
     o = ScanOptions(extensions=["rs"], max_file_bytes=50, skip_hidden=True)
     got = {r["relative"]: (r["disposition"], r["skip_kind"], r["detail"]) for r in select.classify(df, o).collect()}
@@ -96,7 +147,7 @@ def test_cascade_order(spark):
         "l": ("Skipped", "Symlink", None),
         ".h.rs": ("Skipped", "Hidden", None),
         "x.PY": ("Skipped", "Extension", None),
-        "keep/target/y.py": ("Unselected", None, None),
+        "fir/target/y.py": ("Unselected", None, None),
         "fifo": ("Unselected", None, None),
     }
     types = NamedFileTypes().with_defaults().select(["py"]).negate(["rust"])
