@@ -13,6 +13,7 @@ from siltstone.operators.report import ScanReport
 from siltstone.operators.rules import SourceEvidence
 from siltstone.options import ScanDescriptor, ScanOptions
 from siltstone.scanner import Scanner
+from siltstone.session import ScanSession
 
 
 def scan_paths(spark: SparkSession, root: str, options: dict | None = None) -> list[str]:
@@ -36,12 +37,17 @@ def scan_diagnostics(spark: SparkSession, root: str, options: dict | None = None
     return {"summary": row, "text": report.summary_text(row), "warnings": done.sorted_warnings(), "descriptor": asdict(done.descriptor)}
 
 
+def open_session(spark: SparkSession, root: str, store: str, options: dict | None = None) -> ScanSession:
+    """A session whose generations stand in `store`, a folder that all share."""
+    return ScanSession.open(spark, root, store, ScanOptions.decode(options or {}))
+
+
 def save_report(done: ScanReport, to: str) -> None:
     """Tables as JSON lines, sorted; the header as one JSON row."""
     spark = done.files.sparkSession
     done.sorted_files().write.json(f"{to}/files")
     done.sorted_skipped().write.json(f"{to}/skipped")
-    header = {"sources": [asdict(s) for s in done.sources], "warnings": done.sorted_warnings(), "descriptor": asdict(done.descriptor), "root": done.root, "complete": done.complete, "termination": done.termination, "portable": done.portable}
+    header = {"sources": [asdict(s) for s in done.sources], "warnings": done.sorted_warnings(), "descriptor": asdict(done.descriptor), "root": done.root, "complete": done.complete, "termination": done.termination, "portable": done.portable, "cache": done.cache}
     spark.createDataFrame([(json.dumps(header),)], "value string").coalesce(1).write.text(f"{to}/header")
 
 
@@ -49,4 +55,4 @@ def load_report(spark: SparkSession, at: str) -> ScanReport:
     files = spark.read.schema("absolute string, relative string, bytes long, version struct<modified_ns:bigint,changed_ns:bigint,identity:string>, content_hash string, content_fingerprint string, binary_checked boolean").json(f"{at}/files")
     skipped = spark.read.schema("relative string, kind string, detail string").json(f"{at}/skipped")
     h = json.loads(spark.read.text(f"{at}/header").first()["value"])
-    return ScanReport(files.withColumn("binary_checked", F.coalesce("binary_checked", F.lit(False))), skipped, tuple(SourceEvidence(**s) for s in h["sources"]), tuple(map(tuple, h["warnings"])), ScanDescriptor(**h["descriptor"]), h["root"], h["complete"], h["termination"], h["portable"])
+    return ScanReport(files.withColumn("binary_checked", F.coalesce("binary_checked", F.lit(False))), skipped, tuple(SourceEvidence(**s) for s in h["sources"]), tuple(map(tuple, h["warnings"])), ScanDescriptor(**h["descriptor"]), h["root"], h["complete"], h["termination"], h["portable"], tuple(h["cache"]))

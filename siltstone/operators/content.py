@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,42 @@ def visit(files: DataFrame, take: Column | None = None, content: str = "content"
     return events, counters
 
 
+def visited(contents: DataFrame, visitor: Callable[[], Callable[[str, dict], str | None]], size: int, no_binary: bool, schema: str) -> DataFrame:
+    """A row a file, from visitors that are made once a partition and see FileStart,
+    Chunk and FileEnd of each.  After Quit the rest of a partition isn't handed out."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(call: Callable[[str, dict], str | None], file: dict) -> tuple:
+        about = {"relative": file["relative"]}
+        if file["content_status"] != "Complete" or (no_binary and file["binary"]):
+            status = "Binary" if file["content_status"] == "Complete" else file["content_status"]
+            return file["relative"], status, file["content_status"] != "IoError", 0, 0, 0, False, None, False
+        body = bytes(file["content"])
+        answer, sent, n, at = call("FileStart", about | {"bytes": len(body)}), 0, 0, 0
+        while answer not in ("SkipFile", "Quit") and at < len(body):
+            piece = body[at : at + size]
+            answer = call("Chunk", about | {"offset": at, "chunk": piece})
+            n, sent, at = n + 1, sent + len(piece), at + len(piece)
+        left = answer in ("SkipFile", "Quit") and at < len(body)
+        status, digest = ("Skipped", None) if left else ("Selected", file["content_hash"])
+        end = call("FileEnd", about | {"status": status, "bytes_read": len(body), "content_hash": digest, "consumer_skipped": left})
+        return file["relative"], status, True, n, len(body), sent, left, digest, "Quit" in (answer, end)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = visitor()
+        for pdf in parts:
+            rows = []
+            for file in pdf.to_dict("records"):
+                rows.append(one(call, file))
+                if rows[-1][-1]:
+                    break
+            yield pd.DataFrame(rows, columns=names)
+            if rows and rows[-1][-1]:
+                return
+
+    return contents.select("relative", "content", "content_hash", "binary", "content_status").mapInPandas(run, schema)
+
+
 def reassembled(chunk_rows: DataFrame, *keys: str) -> DataFrame:
     """Content of each file, from its chunks in any order."""
     keys = keys or ("relative",)
@@ -56,7 +95,7 @@ def reassembled(chunk_rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def with_cache(files: DataFrame, cache: DataFrame, options: ScanOptions) -> DataFrame:
-    """Adds `reusable` and `cached_hash`.  Fast trusts equal size and version;
+    """Adds `reusable`, `cached_hash` and `cached_fingerprint`.  Fast trusts equal size and version;
     Strict compares the content's fingerprint as well (only then is it read)."""
     c = cache.select(F.col("relative").alias("__relative"), F.struct(*(x for x in cache.columns if x != "relative")).alias("__c"))
     out = files.join(c, F.col("relative") == F.col("__relative"), "left").drop("__relative")
@@ -67,7 +106,7 @@ def with_cache(files: DataFrame, cache: DataFrame, options: ScanOptions) -> Data
     if options.cache_validation == "Strict":
         ok = ok & (old["content_fingerprint"] == F.col("content_fingerprint"))
     ok = F.coalesce(ok, F.lit(False))
-    return out.withColumn("reusable", ok).withColumn("cached_hash", F.when(ok, old["content_hash"])).drop("__c")
+    return out.withColumn("reusable", ok).withColumn("cached_hash", F.when(ok, old["content_hash"])).withColumn("cached_fingerprint", F.when(ok, old["content_fingerprint"])).drop("__c")
 
 
 def cache_stats(cached: DataFrame, options: ScanOptions) -> DataFrame:

@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,19 +55,22 @@ def revision_streamed(files: DataFrame, sources: Iterable[SourceEvidence] = (),
     return "sha256:" + digest.hexdigest()
 
 
-def revision_tree(files: DataFrame) -> DataFrame:
-    """Another digest for very large manifests, not comparable with `revision`:
-    a hash of directory hashes, all in parallel but for the last step."""
-    folder = F.regexp_replace("relative", "/?[^/]*$", "")
+#: Files of a leaf group of `revision_tree`, about.
+TREE_LEAVES = 4096
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hashlib.sha256()
-        for r in pdf.sort_values("relative").itertuples():
-            h.update(f"{r.relative}\0{r.bytes}\0{r.content_hash or ''}\xff".encode())
-        return pd.DataFrame({"folder": [pdf["folder"].iloc[0]], "digest": [h.hexdigest()]})
 
-    per = files.select(folder.alias("folder"), "relative", "bytes", "content_hash").groupBy("folder").applyInPandas(one, "folder string, digest string")
-    return per.agg(F.concat(F.lit("tree:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("folder", "digest"))), lambda x: F.concat(x["folder"], F.lit("\0"), x["digest"])), "\n"), 256)).alias("revision"))
+def revision_tree(files: DataFrame) -> DataFrame:
+    """Another digest for very large manifests, not comparable with `revision`: files
+    are dealt to groups by the hashes of their paths, a group's digest is over its
+    files' digests in order, and the last one over those of the groups.  A group has
+    TREE_LEAVES files or so however many there are of one folder."""
+    groups = max(1, -(-files.count() // TREE_LEAVES))
+    text = lambda c: F.encode(c, "UTF-8")
+    leaf = F.sha2(F.concat(text(F.col("relative")), F.lit(b"\0"), text(F.col("bytes").cast("string")), F.lit(b"\0"), text(F.coalesce("content_hash", F.lit("")))), 256)
+    group = F.pmod(F.conv(F.substring(F.sha2("relative", 256), 1, 8), 16, 10).cast("long"), F.lit(groups))
+    per = files.select(group.alias("group"), leaf.alias("leaf")).groupBy("group").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("leaf")), ""), 256).alias("digest"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("group", "digest"))), lambda x: x["digest"])
+    return per.agg(F.concat(F.lit("tree:"), F.sha2(F.array_join(ordered, "\n"), 256)).alias("revision"))
 
 
 def summary(files: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
@@ -177,6 +179,8 @@ class ScanReport:
     complete: bool = True
     termination: str | None = None
     portable: bool = True
+    #: reused_hashes, content_reads, fingerprint_reads.
+    cache: tuple[int, int, int] = (0, 0, 0)
 
     def revision(self) -> str:
         return revision_streamed(self.files, self.sources, self.portable, self.termination)
@@ -185,7 +189,7 @@ class ScanReport:
         row = summary(self.files, self.skipped).first().asDict()
         order = {k: i for i, k in enumerate(SKIP_KINDS)}
         row["skipped_by_kind"] = dict(sorted((row["skipped_by_kind"] or {}).items(), key=lambda x: order[x[0]]))
-        return row | {"warnings": len(self.warnings), "ignore_sources": len(self.sources), "complete": self.complete, "termination": self.termination, "portable": self.portable}
+        return row | {"warnings": len(self.warnings), "ignore_sources": len(self.sources), "complete": self.complete, "termination": self.termination, "portable": self.portable} | dict(zip(("reused_hashes", "content_reads", "fingerprint_reads"), self.cache, strict=True))
 
     def sorted_files(self) -> DataFrame:
         return self.files.orderBy("relative")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field, fields, replace
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 from siltstone.operators.filetypes import NamedFileTypes
 
@@ -12,7 +14,7 @@ STANDARD_DIRECTORIES = (".git", ".hg", ".svn", ".venv", "__pycache__", "build",
 MAX_FILE_BYTES = 1_500_000
 #: The last name is this engine's own rule file.
 IGNORE_FILES = (".gitignore", ".ignore", ".scanignore")
-DESCRIPTOR_VERSION = 2
+DESCRIPTOR_VERSION = 3
 
 
 @dataclass(frozen=True)
@@ -121,41 +123,22 @@ class ScanDescriptor:
         return self == options.descriptor()
 
 
-def _policy(o: ScanOptions) -> str:
-    """SHA-256 of what shapes a selection; not of parallelism, timeouts,
-    cancellation, validation or discovery modes."""
-    out = [b"scan-policy", DESCRIPTOR_VERSION.to_bytes(4, "little")]
-
-    def strings(values):
-        out.extend(v.encode() + b"\0" for v in values)
-        out.append(b"\xfe")
-
-    def number(n):
-        out.append(b"\0" if n is None else b"\1" + n.to_bytes(8, "little"))
-
-    flag = lambda x: out.append(bytes([x]))
-    strings(o.extensions)
-    for name, patterns in sorted(o.file_types.definitions.items()):
-        out.append(name.encode() + b"\0")
-        out.extend((b"\1" if k == "extension" else b"\2") + p.encode() + b"\0" for k, p in sorted(patterns))
-        out.append(b"\xfe")
-    out.extend((b"\1" if k == "Include" else b"\2") + n.encode() + b"\xff" for k, n in o.file_types.selections)
-    strings(o.override_rules)
-    strings(o.ignore_files)
-    p = o.ignore_policy
-    for x in (p.parent_rules, p.git_ignore, p.dot_ignore, p.custom_ignore, p.git_exclude, p.git_global, p.require_git):
-        flag(x)
-    strings(x.replace("\\", "/") for x in p.explicit_files)
-    for x in (o.ignore_case_insensitive, o.skip_hidden, o.standard_skips, o.hash_file_contents, o.detect_binary_files):
-        flag(x)
-    flag(2 if o.selected_files_only else 1)
-    out.append(o.max_file_bytes.to_bytes(8, "little"))
-    number(o.max_entries)
-    number(o.max_total_bytes)
-    out.append(o.walk.min_depth.to_bytes(8, "little"))
-    number(o.walk.max_depth)
-    flag(o.walk.follow_links)
-    flag(o.walk.same_file_system)
-    flag(1 if o.walk.root_symlink_policy == "Follow" else 2)
-    flag(1 if o.walk.error_policy == "Continue" else 2)
-    return "sha256:" + hashlib.sha256(b"".join(out)).hexdigest()
+#: Options that say how a scan runs, and not what it gives.
+MANNER = ("parallelism", "traversal_parallelism", "content_parallelism", "timeout_seconds", "cancellation", "cache_validation", "content_validation", "content_discovery")
+
+
+def _policy(options: ScanOptions) -> str:
+    """SHA-256 of all options that shape a selection, as canonical JSON."""
+
+    def plain(value):
+        if is_dataclass(value):
+            return {f.name: plain(getattr(value, f.name)) for f in fields(value) if f.name not in MANNER}
+        if isinstance(value, Mapping):
+            return {k: plain(v) for k, v in value.items()}
+        if isinstance(value, (frozenset, set)):
+            return sorted(plain(v) for v in value)
+        return [plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+    walk = replace(options.walk, max_open=0, metadata=True)
+    text = json.dumps(plain(replace(options, walk=walk)), sort_keys=True, separators=(",", ":"))
+    return "sha256:" + hashlib.sha256(text.encode()).hexdigest()

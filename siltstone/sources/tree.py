@@ -57,34 +57,39 @@ def list_directory(node: Node, walk: WalkOptions, device: int | None) -> Iterato
         yield _row(node, node.path, node.depth, os.path.basename(node.path), "other", None, error=f"read directory: {e.strerror}"), None
         return
     for entry in entries:
-        depth = node.depth + 1
-        try:
-            info = entry.stat(follow_symlinks=False)
-            link = stat.S_ISLNK(info.st_mode)
-            if link and walk.follow_links:
-                info = os.stat(entry.path)
-        except OSError as e:
-            yield _row(node, entry.path, depth, entry.name, "other", None, error=f"read metadata: {e.strerror}"), None
-            continue
-        if link and not walk.follow_links:
-            yield _row(node, entry.path, depth, entry.name, "symlink", info), None
-            continue
-        if not stat.S_ISDIR(info.st_mode):
-            inside = not link or _inside(entry.path, node.root)
-            kind = "file" if stat.S_ISREG(info.st_mode) else "other"
-            yield _row(node, entry.path, depth, entry.name, kind, info, None if inside else "PathEscape"), None
-            continue
-        skip = None
-        if walk.max_depth is not None and depth >= walk.max_depth:
-            skip = "MaxDepth"
-        elif link and not _inside(entry.path, node.root):
-            skip = "PathEscape"
-        elif link and (info.st_dev, info.st_ino) in node.above:
-            skip = "SymlinkLoop"
-        elif walk.same_file_system and device is not None and info.st_dev != device:
-            skip = "FileSystemBoundary"
-        row = _row(node, entry.path, depth, entry.name, "dir", info, skip)
-        yield row, None if skip else Node(node.root_index, node.root, entry.path, depth, (*node.above, (info.st_dev, info.st_ino)))
+        yield from _entry(node, entry.path, entry.name, walk, device)
+
+
+def _entry(node: Node, path: str, name: str, walk: WalkOptions, device: int | None) -> Iterator[tuple[tuple, Node | None]]:
+    """The row of one entry of a directory and, if it is to be entered, a node."""
+    depth = node.depth + 1
+    try:
+        info = os.stat(path, follow_symlinks=False)
+        link = stat.S_ISLNK(info.st_mode)
+        if link and walk.follow_links:
+            info = os.stat(path)
+    except OSError as e:
+        yield _row(node, path, depth, name, "other", None, error=f"read metadata: {e.strerror}"), None
+        return
+    if link and not walk.follow_links:
+        yield _row(node, path, depth, name, "symlink", info), None
+        return
+    if not stat.S_ISDIR(info.st_mode):
+        inside = not link or _inside(path, node.root)
+        kind = "file" if stat.S_ISREG(info.st_mode) else "other"
+        yield _row(node, path, depth, name, kind, info, None if inside else "PathEscape"), None
+        return
+    skip = None
+    if walk.max_depth is not None and depth >= walk.max_depth:
+        skip = "MaxDepth"
+    elif link and not _inside(path, node.root):
+        skip = "PathEscape"
+    elif link and (info.st_dev, info.st_ino) in node.above:
+        skip = "SymlinkLoop"
+    elif walk.same_file_system and device is not None and info.st_dev != device:
+        skip = "FileSystemBoundary"
+    row = _row(node, path, depth, name, "dir", info, skip)
+    yield row, None if skip else Node(node.root_index, node.root, path, depth, (*node.above, (info.st_dev, info.st_ino)))
 
 
 def _inside(path: str, root: str) -> bool:
@@ -186,6 +191,37 @@ def list_tree(spark: SparkSession, roots: str | Iterable[str], walk: WalkOptions
     return reader.load().select("root_index", "root", "relative", "name", "depth", "kind", "bytes", version, "hidden", "walk_skip", "error")
 
 
+def stat_paths(spark: SparkSession, root: str, paths: DataFrame, walk: WalkOptions | None = None) -> DataFrame:
+    """Rows as of `list_tree` for some paths (relative); what is gone, or lies behind
+    a link that isn't followed, has none.  Looked up on the executors."""
+    walk = walk or WalkOptions()
+    top = start(root, 0, walk)
+
+    def one(relative: str) -> tuple | None:
+        folder, _, name = relative.rpartition("/")
+        node, parts = top, [p for p in folder.split("/") if p]
+        for i, part in enumerate([*parts, name]):
+            at = os.path.join(node.path, part)
+            try:
+                info = os.lstat(at)
+            except OSError:
+                return None
+            if i == len(parts):
+                return next((row for row, _ in _entry(node, at, part, walk, top.above[0][0])), None)
+            if stat.S_ISLNK(info.st_mode) and not walk.follow_links:
+                return None
+            node = Node(0, node.root, at, i + 1, node.above)
+        return None
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = [row for r in pdf["relative"] if (row := one(r)) is not None]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")]).astype({"bytes": "Int64", "modified_ns": "Int64", "changed_ns": "Int64"})
+
+    version = F.struct("modified_ns", "changed_ns", "identity").alias("version")
+    return paths.select("relative").mapInPandas(run, SCHEMA).select("root_index", "root", "relative", "name", "depth", "kind", "bytes", version, "hidden", "walk_skip", "error")
+
+
 def ordered_walk(entries: DataFrame, contents_first: bool = False) -> Iterator:
     """Rows in depth-first order, a bounded number at a time."""
     parts = F.split("relative", "/")

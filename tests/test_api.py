@@ -14,7 +14,7 @@ OPTIONS = {"extensions": ["rs", "tmp"]}
 
 def test_entry_points(spark, tmp_path):
     root = make(tmp_path / "r", CORPUS)
-    assert api.scan_paths(spark, root, OPTIONS) == [".github/w.rs", "binary.rs", "important.tmp", "src/lib.rs"]
+    assert api.scan_paths(spark, root, OPTIONS) == [".hooks/on.rs", "blob.rs", "ledger.tmp", "sub/engine.rs"]
     done = api.scan_repository(spark, root, OPTIONS)
     api.save_report(done, str(tmp_path / "report"))
     again = api.load_report(spark, str(tmp_path / "report"))
