@@ -13,9 +13,11 @@ from siltstone.functions.paths import ancestors, base_name, collapse_prefixes, c
 from siltstone.operators import content, delta, limits, report, rules, select, watch
 from siltstone.operators.filetypes import NamedFileTypes
 from siltstone.operators.rules import RuleSet, SourceEvidence
-from siltstone.options import STANDARD_DIRECTORIES, ScanOptions, WalkOptions
+from siltstone.options import STANDARD_DIRECTORIES, IgnorePolicy, ScanOptions, WalkOptions
 from siltstone.plans import derive as d
 from siltstone.plans.derive import sql
+from siltstone.plans.lineage import settled
+from siltstone.scanner import Scanner
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,6 +38,7 @@ STD = ", ".join(f"'{x}'" for x in STANDARD_DIRECTORIES)
 #: SQL of "some proper ancestor is a standard directory".
 UNDER_STD = f"list_has_any(string_split(relative, '/')[:-2], [{STD}])"
 PLAIN = ScanOptions(standard_skips=False, max_file_bytes=2**40)
+_ON_DISK = PLAIN.with_(ignore_policy=IgnorePolicy.none(), detect_binary_files=False)
 RULES = "*.tmp\n!doc_1*.tmp\n/src3/\nsrc4/de/\n*.md\n!src5/**/doc_*.md\n"
 
 
@@ -85,13 +88,14 @@ def walk_depths(spark, sf):
 # Globs
 
 GLOBS = {
-    "glob_star": ("src1/*/doc_1*.rs", "^src1/[^/]*/doc_1[^/]*[.]rs$"),
-    "glob_question": ("src?/en/doc_?.*", "^src[^/]/en/doc_[^/][.][^/]*$"),
-    "glob_class": ("**/doc_[1-3][02468].go", "doc_[1-3][02468][.]go$"),
+    "glob_star": ("src*/*/doc_*1*.*", "^src[^/]*/[^/]*/doc_[^/]*1[^/]*[.][^/]*$"),
+    "glob_question": ("src?/??/doc_??*", "^src[^/]/[^/][^/]/doc_[^/][^/][^/]*$"),
+    "glob_class": ("**/doc_*[1-3][02468].[!rt]*", "doc_[^/]*[1-3][02468][.][^/rt][^/]*$"),
     "glob_negated_class": ("src1[!0-4]/**", "^src1[^0-4/]/?.*$"),
-    "glob_doublestar": ("target/**/de/*.md", "^target/.*de/[^/]*[.]md$"),
-    "glob_braces": ("{src1,src2{0,1}}/{en,fr}/*.{rs,ts}", "^(src1|src2(0|1))/(en|fr)/[^/]*[.](rs|ts)$"),
-    "glob_escape": (r"src7/en/doc\_\[*|src7\/*/doc_[7]?.md", "^src7/en/doc_[[][^/]*[|]src7/[^/]*/doc_7[^/][.]md$"),
+    "glob_doublestar": ("{target,build}/**/*[05].*", "^(target|build)/.*[05][.][^/]*$"),
+    "glob_braces": ("{src1,src2{0,1},src[5-9]}/{en,fr}/*.{rs,ts,md}", "^(src1|src2(0|1)|src[5-9])/(en|fr)/[^/]*[.](rs|ts|md)$"),
+    "glob_escape": (r"src*/e\n/doc\_*\.[gm]\*", "^src[^/]*/en/doc_[^/]*[.][gm][*]$"),
+    "glob_escape_literal": (r"src*/\e\n/doc\_*\.\go", "^src[^/]*/en/doc_[^/]*[.]go$"),
 }
 
 
@@ -107,9 +111,9 @@ for _name, (_pattern, _regex) in GLOBS.items():
     query(sql("m", f"SELECT relative FROM m WHERE regexp_matches(relative, '{_regex}')"))(_glob_query(_name, _pattern))
 
 
-@query(sql("m", "SELECT relative FROM m WHERE regexp_matches(lower(relative), '^src2/[^/]*/doc_[^/]*[.]rs$')"))
+@query(sql("m", "SELECT relative FROM m WHERE regexp_matches(lower(relative), '^src[^/]*/[^/]*/doc_[^/]*[.]rs$')"))
 def glob_case_insensitive(spark, sf):
-    return d.tree(spark, sf).where(glob_column(F.upper("relative"), "SRC2/*/Doc_*.RS", case_insensitive=True)).select("relative")
+    return d.tree(spark, sf).where(glob_column(F.upper("relative"), "SRC*/*/Doc_*.RS", case_insensitive=True)).select("relative")
 
 
 @query(sql("u", "SELECT page_id FROM u WHERE regexp_matches(path, '^[a-z][a-z]/[0-9][^/]*$')"))
@@ -260,9 +264,16 @@ def prefix_cover(spark, sf):
     return d.tree(spark, sf).where(covered_by(F.col("relative"), ["src1", "src1/en", "target/src2"])).select("relative")
 
 
-@query("SELECT unnest(['a', 'b/c', 'b2', 'src', 'src2']) AS prefix")
+_FOLDERS = """f AS (SELECT DISTINCT CASE WHEN doc_id % 29 = 0 THEN source WHEN doc_id % 5 = 0 THEN source || '/' || coalesce(lang, 'xx') ELSE regexp_replace(relative, '/[^/]*$', '') END AS prefix FROM (SELECT m.doc_id, m.source, m.relative, docs.lang FROM m JOIN documents docs USING (doc_id)))"""
+
+
+@query(sql("m", "").rstrip() + ", " + _FOLDERS + " SELECT prefix FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE starts_with(f.prefix, g.prefix || '/'))")
 def prefix_collapse(spark, sf):
-    return spark.createDataFrame([(p,) for p in collapse_prefixes(["src/a", "src", "src2", "a/b/c", "a", "b/c", "b/c/d", "b2", "src"])], "prefix string")
+    """Folders, of which there are as many as sources and languages, collapsed on the driver."""
+    k, source = F.col("doc_id"), F.coalesce("source", F.lit("none"))
+    folder = F.when(k % 29 == 0, source).when(k % 5 == 0, F.concat(source, F.lit("/"), F.coalesce("lang", F.lit("xx")))).otherwise(F.regexp_replace(d.relative(), "/[^/]*$", ""))
+    found = d.documents(spark, sf).select(folder.alias("prefix")).distinct().collect()
+    return spark.createDataFrame([(p,) for p in collapse_prefixes(r["prefix"] for r in found)], "prefix string")
 
 
 @query(sql("m n", "SELECT relative, regexp_extract(name, '[^.]*$') AS extension FROM n"))
@@ -277,6 +288,16 @@ def byte_budget_prefix(spark, sf):
     return limits.byte_budget(d.tree(spark, sf).select("relative", "bytes"), 100_000).select("relative", "kept")
 
 
+_ITEM = "printf('o%d/l%d', l_orderkey, l_linenumber)"
+
+
+@query(f"SELECT path, l_quantity, sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY path RANGE UNBOUNDED PRECEDING) <= (SELECT CAST(sum(l_quantity) AS BIGINT) // 3 FROM lineitem) AS kept FROM (SELECT {_ITEM} AS path, * FROM lineitem)")
+def byte_budget_lineitem(spark, sf):
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("relative", F.format_string("o%d/l%d", "l_orderkey", "l_linenumber")).withColumn("bytes", F.col("l_quantity").cast("long"))
+    third = (items.agg(F.sum("bytes")).first()[0] or 0) // 3
+    return limits.byte_budget(items, third).select(F.col("relative").alias("path"), "l_quantity", "kept")
+
+
 @query(sql("m", "SELECT relative FROM m ORDER BY relative LIMIT 25"))
 def entry_limit(spark, sf):
     return limits.entry_limit(d.tree(spark, sf), 25).select("relative")
@@ -403,10 +424,16 @@ def portable_skips(spark, sf):
     return report.portable_skips(select.skipped(_cascade(spark, sf), _CASCADE))
 
 
-@query("SELECT * FROM (VALUES ('GitIgnore', 'a/.gitignore', 'h1'), ('Explicit', NULL, 'h2'), ('Override', '<overrides>', 'h3'), ('Explicit', NULL, 'h4'), ('Custom', 'b/c', 'h5')) t(kind, repository_relative, content_hash)")
+_LOCATED = "CASE doc_id % 7 WHEN 0 THEN '/' || relative WHEN 1 THEN '../' || relative WHEN 2 THEN '<' || source || '>' WHEN 3 THEN replace(relative, '/', chr(92)) WHEN 4 THEN './' || relative WHEN 5 THEN 'C:' || relative ELSE relative END"
+
+
+@query(sql("m", f"""SELECT DISTINCT kind, CASE WHEN regexp_matches(l, '^<.*>$') THEN l WHEN regexp_matches(l, '^/|^[A-Za-z]:|(^|/)[.][.]?(/|$)') THEN NULL ELSE replace(l, chr(92), '/') END AS repository_relative, content_hash
+  FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN 'GitIgnore' ELSE 'Explicit' END AS kind, {_LOCATED} AS l, content_hash FROM m)"""))
 def portable_sources(spark, sf):
-    rows = [("GitIgnore", "a/.gitignore", "h1"), ("Explicit", "/etc/x", "h2"), ("Override", "<overrides>", "h3"), ("Explicit", "../x", "h4"), ("Custom", "b\\c", "h5"), ("GitIgnore", "a/.gitignore", "h1")]
-    return report.portable_sources(spark.createDataFrame(rows, "kind string, location string, content_hash string"))
+    k, path = F.col("doc_id") % 7, F.col("relative")
+    at = F.when(k == 0, F.concat(F.lit("/"), path)).when(k == 1, F.concat(F.lit("../"), path)).when(k == 2, F.concat(F.lit("<"), F.coalesce("source", F.lit("none")), F.lit(">"))).when(k == 3, F.replace(path, F.lit("/"), F.lit("\\")))
+    at = at.when(k == 4, F.concat(F.lit("./"), path)).when(k == 5, F.concat(F.lit("C:"), path)).otherwise(path)
+    return report.portable_sources(d.manifest(spark, sf).select(F.when(F.col("doc_id") % 2 == 0, "GitIgnore").otherwise("Explicit").alias("kind"), at.alias("location"), "content_hash"))
 
 
 @query(sql("m", _revision_sql(report.revision_prefix((SOURCES[0], SourceEvidence("Explicit", "<external>", "sha256:11"))).hex())))
@@ -440,10 +467,15 @@ def delta_counts(spark, sf):
     return delta.counts(delta.delta(d.previous(spark, sf), d.current(spark, sf)))
 
 
-@query("SELECT 'Metadata' AS quality")
+_QUALITY = "SELECT '{}' AS which, CASE WHEN (SELECT count(*) FROM prev WHERE content_hash IS NULL) + (SELECT count(*) FROM cur WHERE {}) = 0 THEN 'ContentHash' ELSE 'Metadata' END AS quality"
+
+
+@query(sql("m prev cur", _QUALITY.format("whole", "content_hash IS NULL") + " UNION ALL " + _QUALITY.format("bare", "content_hash IS NULL OR bytes % 2 = 1")))
 def delta_quality(spark, sf):
-    bare = d.current(spark, sf).withColumn("content_hash", F.when(F.col("doc_id") % 2 == 0, F.col("content_hash")))
-    return delta.quality(d.previous(spark, sf), bare)
+    now = d.current(spark, sf)
+    bare = now.withColumn("content_hash", F.when(F.col("bytes") % 2 == 0, F.col("content_hash")))
+    each = [delta.quality(d.previous(spark, sf), c).select(F.lit(k).alias("which"), "quality") for k, c in (("whole", now), ("bare", bare))]
+    return each[0].unionByName(each[1])
 
 
 @query(_delta_sql("""SELECT relative, status FROM st WHERE status IN ('added', 'removed') AND relative NOT IN (SELECT "from" FROM mv) AND relative NOT IN (SELECT "to" FROM mv)"""))
@@ -492,11 +524,51 @@ def incremental_manifest(spark, sf):
     return watch.incremental(d.previous(spark, sf).select(*cols), _update_plan(spark, sf), d.current(spark, sf).select(*cols))
 
 
-@query("SELECT true AS equal")
+@query(sql("m prev cur", "").rstrip() + f", r AS ({_revision_sql(report.revision_prefix().hex(), 'cur')}) SELECT revision AS incremental, revision AS whole FROM r")
 def incremental_equals_full(spark, sf):
     cols = ["relative", "bytes", "content_hash"]
-    made, full = report.revision(incremental_manifest(spark, sf)).withColumnRenamed("revision", "a"), report.revision(d.current(spark, sf).select(*cols))
-    return made.crossJoin(full).select((F.col("a") == F.col("revision")).alias("equal"))
+    made, full = report.revision(incremental_manifest(spark, sf)).withColumnRenamed("revision", "incremental"), report.revision(d.current(spark, sf).select(*cols)).withColumnRenamed("revision", "whole")
+    return made.crossJoin(full)
+
+
+_LEAVES = "hex(encode(relative)) || '00' || hex(encode(CAST(bytes AS VARCHAR))) || '00' || hex(encode(content_hash))"
+
+
+@query(sql("m", f"""SELECT 'tree:' || sha256(string_agg(digest, chr(10) ORDER BY bucket)) AS revision FROM (SELECT bucket, sha256(string_agg(leaf, '' ORDER BY leaf)) AS digest
+  FROM (SELECT CAST('0x' || substr(sha256(relative), 1, 8) AS BIGINT) % (SELECT CAST(ceil(count(*) / {report.TREE_LEAVES}.0) AS BIGINT) FROM m) AS bucket, sha256(unhex({_LEAVES})) AS leaf FROM m) GROUP BY bucket)"""))
+def revision_tree(spark, sf):
+    return report.revision_tree(d.manifest(spark, sf))
+
+
+# Trees on disk
+
+@query(sql("m", "SELECT relative, bytes, content_hash FROM m"))
+def tree_scan(spark, sf):
+    """Every document as a file of a tree that is scanned."""
+    with d.on_disk(spark, d.tree(spark, sf)) as root:
+        return Scanner(spark, root, _ON_DISK).scan().files.select("relative", "bytes", "content_hash")
+
+
+@query(sql("m", "SELECT relative, i AS chunk_index, least(4096, bytes - i * 4096) AS bytes FROM (SELECT relative, bytes, unnest(range(0, CAST(ceil(bytes / 4096.0) AS BIGINT))) AS i FROM m)"))
+def tree_chunks(spark, sf):
+    with d.on_disk(spark, d.tree(spark, sf)) as root:
+        parts, _ = Scanner(spark, root, _ON_DISK).visit_content_manifest(4096)
+        return settled(parts.select("relative", F.col("chunk_index").cast("long").alias("chunk_index"), F.octet_length("bytes").cast("long").alias("bytes")))
+
+
+@query(sql("m", "SELECT relative, CASE WHEN doc_id % 10 = 1 THEN 'sha256:' || sha256(content || 'more') ELSE content_hash END AS content_hash FROM m WHERE doc_id % 10 <> 0"))
+def tree_incremental(spark, sf):
+    """A scan brought up to date after files have gone and changed."""
+    docs, k = d.tree(spark, sf), F.col("doc_id") % 10
+    with d.on_disk(spark, docs) as root:
+        before = Scanner(spark, root, _ON_DISK).scan()
+        d.write_files(docs.where(k == 1).withColumn("content", F.concat("content", F.lit("more"))), root)
+        d.remove_files(docs.where(k == 0), root)
+        plan = docs.where(k < 2).select("relative", F.when(k == 0, "removed").otherwise("changed").alias("action"))
+        after, reason = Scanner(spark, root, _ON_DISK).scan_watch_plan(before, plan)
+        if reason != "Incremental":
+            raise RuntimeError(reason)
+        return after.files.select("relative", "content_hash")
 
 
 # Without a SQL form
@@ -506,11 +578,6 @@ def fingerprint(spark, sf):
     return d.tree(spark, sf).select("relative", cf.fingerprint(F.col("content")).alias("fingerprint"))
 
 
-@query()
-def revision_tree(spark, sf):
-    return report.revision_tree(d.manifest(spark, sf))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """What becomes of every file, by reason: the cascade, summed up."""
     return _cascade(spark, sf).groupBy("disposition", "skip_kind").agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))

@@ -5,10 +5,19 @@ The same definitions exist as DuckDB SQL in `SQL`, for the oracles.
 
 from __future__ import annotations
 
+import os
+import shutil
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import urlparse
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.content import sha256
+from siltstone.plans.lineage import shared_folder
 
 ROOT = "/work/tree"
 
@@ -36,6 +45,46 @@ def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", relative().alias("relative"), F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("bytes"), F.col("text").alias("content"), "source")
 
 
+def _on_files(rows: DataFrame, root: str, do) -> None:
+    def run(parts):
+        for pdf in parts:
+            for r in pdf.itertuples():
+                do(os.path.join(root, r.relative), r)
+        yield pd.DataFrame({"n": [0]})
+
+    rows.mapInPandas(run, "n long").count()
+
+
+def _written(path: str, row) -> None:
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(row.content.encode("utf-8", "surrogatepass"))
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Rows (relative, content) as files below a folder that all share."""
+    _on_files(rows.select("relative", "content"), root, _written)
+
+
+def remove_files(rows: DataFrame, root: str) -> None:
+    _on_files(rows.select("relative"), root, lambda path, row: os.remove(path))
+
+
+@contextmanager
+def on_disk(spark: SparkSession, rows: DataFrame) -> Iterator[str]:
+    """A folder with the rows as files; it goes at the end."""
+    base = urlparse(shared_folder(spark))
+    if base.scheme not in ("", "file"):
+        raise ValueError("trees on disk need a spark.checkpoint.dir that is a mounted folder")
+    root = os.path.join(base.path, f"tree-{uuid.uuid4().hex}")
+    os.makedirs(root)
+    try:
+        write_files(rows, root)
+        yield root
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
 def version() -> F.Column:
     return F.struct((F.col("doc_id") * 1000).alias("modified_ns"), F.lit(None).cast("long").alias("changed_ns"), F.lit(None).cast("string").alias("identity")).alias("version")
 

@@ -1,4 +1,4 @@
-"""Every query against its oracle on the smallest test tables."""
+"""Every query against its oracle on the smallest test tables that all queries have rows on."""
 
 import glob
 import os
@@ -8,7 +8,7 @@ import pytest
 
 from siltstone.plans import catalogue
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -20,20 +20,19 @@ def test_queries(spark):
         df = run(spark, DATA)
         cols = sorted(df.columns)
         got = sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
+        assert got or name == "glob_escape", name
         if name in catalogue.ORACLES:
             want = con.sql(catalogue.ORACLES[name])
             at = [want.columns.index(c) for c in cols]
             assert sorted(want.columns) == cols, name
             assert got == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall()), name
-        else:
-            assert got, name
 
 
 def test_empty_tables(spark, tmp_path):
-    for t in ("documents", "events", "pages", "conversations"):
+    for t in ("documents", "events", "pages", "conversations", "lineitem"):
         if os.path.isdir(DATA):
             spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
 
     if os.path.isdir(DATA):
-        for name in ("manifest_scan", "selection_cascade", "skip_evidence", "revision", "delta_counts", "watch_plan_header", "byte_budget_prefix", "summary"):
+        for name in ("manifest_scan", "selection_cascade", "skip_evidence", "revision", "delta_counts", "watch_plan_header", "byte_budget_prefix", "byte_budget_lineitem", "summary", "tree_scan", "revision_tree"):
             catalogue.QUERIES[name](spark, str(tmp_path)).collect()
