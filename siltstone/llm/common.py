@@ -157,9 +157,13 @@ def windows(data: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 def per_row(flags: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of `flags` within each row."""
-    total = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=total[1:])
-    return total[offs[1:]] - total[offs[:-1]]
+    at, carry = np.zeros(len(offs), np.int64), 0
+    for a in range(0, len(flags), BLOCK_BYTES):
+        total = np.cumsum(flags[a : a + BLOCK_BYTES], dtype=np.int64)
+        i, j = np.searchsorted(offs, (a + 1, a + len(total) + 1))
+        at[i:j] = carry + total[offs[i:j] - 1 - a]
+        carry += int(total[-1])
+    return np.diff(at)
 
 
 def fold(column: Column | str, div: int) -> Column:
