@@ -51,9 +51,13 @@ FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_l
 
 
 def _dups(key: np.ndarray) -> np.ndarray:
-    """Size of each element's group of equals."""
-    _, back, n = np.unique(key, return_inverse=True, return_counts=True)
-    return n[back]
+    """Whether each element has an equal one."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
 
 
 def _later(key: np.ndarray) -> np.ndarray:
@@ -89,9 +93,14 @@ def text_features(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     repeat = np.zeros(n, np.int64)
     if len(start) >= 3:
         w = spans_hash(data, start, end)
+        del end
         same = row[2:] == row[:-2]
-        key = mix(w[:-2] * MIX_A + w[1:-1] * MIX_B + w[2:] * GOLD + mix(row[2:].astype(np.uint64) + GOLD))[same]
-        first = np.flatnonzero(same)[_dups(key) > 1] if len(key) else np.zeros(0, np.int64)
+        key = w[:-2] * MIX_A
+        key += w[1:-1] * MIX_B
+        key += w[2:] * GOLD
+        del w
+        key = mix(key + mix(row[2:].astype(np.uint64) + GOLD))[same]
+        first = np.flatnonzero(same)[_dups(key)] if len(key) else np.zeros(0, np.int64)
         hit = np.zeros(len(start), bool)
         for k in range(3):
             hit[first + k] = True

@@ -12,8 +12,8 @@ is the sum of its tokens' marginals beyond FLOOR and the largest one; a logistic
 curve in the two, fitted on the documents' labels, gives the score.  `spans`
 returns the offsets in code points of runs of offending tokens.
 
-Words are runs of letters, case-folded within ASCII and Latin-1; a sentence ends at . ! ? or a
-line feed.  All sentences of a batch are run through at once, so the number of
+Words are runs of letters, case-folded within ASCII and Latin-1; a sentence ends at . ! ?, a
+line feed, or after LONGEST words.  All sentences of a batch are run through at once, so the number of
 steps is the longest sentence's length.
 
 Fitting uses at most SAMPLE labelled documents of either label, those with the
@@ -40,6 +40,8 @@ SAMPLE, SAMPLE_TOKENS = 1000, 2_000_000
 FEATURE_BITS, EVIDENCE, PRECISION, FLOOR, OFFENDING = 18, 16.0, 0.9, 0.3, 0.5
 STEPS, RATE, RIDGE = 40, 0.5, 1e-4
 PREFIXES, SUFFIX, TELLING = (3, 4, 5), 4, (4, 5)
+#: Words of a sentence; a longer one is taken as several.
+LONGEST = 512
 _U, _I = np.uint64, np.int64
 _SALT = mix(np.arange(1, 10, dtype=_U) * GOLD)
 _letter = np.zeros(256, bool)
@@ -73,7 +75,9 @@ class Tokens:
         broken = np.ones(len(self.start), bool)
         if len(self.start) > 1:
             broken[1:] = (stops[self.start[1:]] > stops[self.end[:-1]]) | (self.row[1:] != self.row[:-1])
-        self.heads = np.flatnonzero(broken)
+        heads = np.flatnonzero(broken)
+        place = np.arange(len(broken)) - np.repeat(heads, np.diff(np.concatenate((heads, [len(broken)]))))
+        self.heads = np.flatnonzero(place % LONGEST == 0)
 
 
 class Chains:
