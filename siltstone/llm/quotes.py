@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settled
+from siltstone.llm.common import lean, settled, slices
 
 TURNS = 1024
 _MARK = re.compile(r"^(?:[ \t]*>)+[ \t]?")
@@ -65,11 +65,14 @@ def parsed(messages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [parse(t or "") for t in batch.column(3).to_pylist()]
-            own = pa.array([o for o, _ in got], pa.string())
-            passages = pa.array([[{"level": lv, "passage": p} for lv, p in ps] for _, ps in got], pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, passages], ["conv_id", "turn", "role", "text", "passages"])
-
+            for a, b in slices(batch.column(3)):
+                part = batch.slice(a, b - a)
+                got = [parse(t or "") for t in part.column(3).to_pylist()]
+                own = pa.array([o for o, _ in got], pa.string())
+                passages = pa.array([[{"level": lv, "passage": p} for lv, p in ps] for _, ps in got], pa.list_(pa.struct([("level", pa.int32()), ("passage", pa.string())])))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], own, passages], ["conv_id", "turn", "role", "text", "passages"])
+
+    lean(messages.sparkSession)
     src = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     out = src.mapInArrow(run, "conv_id long, turn long, role string, text string, passages array<struct<level int, passage string>>")
     hashed = F.transform("passages", lambda p: F.struct(p["level"].alias("level"), F.xxhash64(p["passage"]).alias("hash")))
@@ -173,3 +176,27 @@ SELECT own.conv_id, own.turn, own.role, own.text,
        top.parent_turn, coalesce(top.thread_turn, own.turn) AS thread_turn, CAST(coalesce(top.depth, 0) AS BIGINT) AS depth
 FROM own LEFT JOIN top ON own.conv_id IS NOT DISTINCT FROM top.conv_id AND own.turn = top.turn
 """
+
+
+def replies(docs: DataFrame) -> DataFrame:
+    """Messages that quote, made of documents: eight documents are a conversation, and
+    each but the first quotes the first line of the one before, at two levels if that
+    line has an even number of characters."""
+    conv, turn = F.floor(F.col("doc_id") / 8).cast("long"), (F.col("doc_id") % 8).cast("long")
+    line = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    # A conversation is eight rows however large the table.
+    before = F.lag(line).over(Window.partitionBy(conv).orderBy("doc_id"))
+    quote = F.concat(F.lit("A wrote:\n> "), before, F.when(F.length(before) % 2 == 0, F.concat(F.lit("\n>> "), before)).otherwise(""), F.lit("\n\n"))
+    text = F.concat(F.coalesce(quote, F.lit("")), line, F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return docs.where("doc_id is not null").select(conv.alias("conv_id"), turn.alias("turn"), F.col("source").alias("role"), text.alias("text"))
+
+
+REPLIES_SQL = ORACLE_SQL.replace(
+    "WITH RECURSIVE l AS (",
+    r"""WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(text, '') AS text, split_part(coalesce(text, ''), chr(10), 1) AS line FROM documents WHERE doc_id IS NOT NULL),
+e AS (SELECT *, lag(line) OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) AS before FROM d), conversations AS (
+  SELECT doc_id // 8 AS conv_id, doc_id % 8 AS turn, source AS role,
+         coalesce('A wrote:' || chr(10) || '> ' || before || CASE WHEN length(before) % 2 = 0 THEN chr(10) || '>> ' || before ELSE '' END || chr(10) || chr(10), '') || line || chr(10) || chr(10) || text AS text FROM e
+), l AS (""",
+    1,
+)

@@ -75,11 +75,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(documents(shipped(spark), sf_dir), _vocabulary())
 
 
+def quotes_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over messages that do quote each other."""
+    from siltstone.llm.quotes import linked, replies
+
+    return linked(replies(documents(shipped(spark), sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()} | {"quotes_of_documents": quotes_of_documents}
 
 
 def oracle_sql() -> dict[str, str]:
     from siltstone.llm import linededup, quotes
 
-    return {"op5_line_dedup": linededup.ORACLE_SQL, "op8_quotes": quotes.ORACLE_SQL}
+    return {"op5_line_dedup": linededup.ORACLE_SQL, "op8_quotes": quotes.ORACLE_SQL, "quotes_of_documents": quotes.REPLIES_SQL}

@@ -1,3 +1,5 @@
+import os
+
 import random
 
 import duckdb
@@ -51,3 +53,20 @@ def test_reading(spark):
         place.setdefault((r["conv_id"], r["turn"]), i)
         assert r["parent_turn"] is None or place[r["conv_id"], r["parent_turn"]] < i
     assert quotes.linked(df.limit(0)).count() == 0
+
+
+def test_quoting_documents_against_sql(spark):
+    import duckdb
+
+    at = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}'")
+    want = con.sql(quotes.REPLIES_SQL)
+    got = quotes.linked(quotes.replies(spark.read.parquet(at)))
+    assert sorted(want.columns) == sorted(got.columns)
+    cols = want.columns
+    rows = sorted(str(tuple(r[c] for c in cols)) for r in got.collect())
+    assert rows == sorted(str(tuple(r)) for r in want.fetchall())
+    assert sum(r["parent_turn"] is not None for r in got.collect()) > 100
