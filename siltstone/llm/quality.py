@@ -4,7 +4,7 @@ Rules reject a document whose feature exceeds a cutoff.  The cutoff of a rule in
 a stratum is certified on a labelled holdout: among rows labelled good, the exact
 (Clopper-Pearson) upper bound on the share that the cutoff rejects must stay
 below the rule's share of the risk, at a confidence divided by the number of
-(stratum, rule) pairs, a Bonferroni correction.  The nested cutoffs of a pair are
+(stratum, rule) pairs that the base rule leaves rows in, a Bonferroni correction.  The nested cutoffs of a pair are
 tested in fixed sequence, from the loosest on until one fails, which needs no
 correction.  Of the certified cutoffs
 the one is taken that rejects most rows labelled bad, each good one rejected
@@ -12,7 +12,7 @@ counting against it; a rule with no useful certified cutoff rejects nothing.
 
 Strata are bands of the number of words, a fixed set.  All labelled rows count,
 as a histogram over a fixed grid of cutoffs, so the driver gets a table whose
-size doesn't depend on the data.
+size doesn't depend on the data; rows that the base rule rejects are left out.
 
 Null texts have no words.  Null labels and labels of unknown documents don't
 count; a document with several labels counts once, as good if any says so.
@@ -185,7 +185,8 @@ def _stratum(n_words: Column) -> Column:
 def certified(histogram: list[tuple[int, str, int, int, int]], risk: float = RISK, failure: float = FAILURE) -> dict[tuple[int, str], tuple[int, float]]:
     """Cutoff index and bound by (stratum, rule), from rows (stratum, rule, bin,
     good, count)."""
-    tests = len(BANDS) * len(RULES)
+    # In bands below the least number of words the base rule rejects every row.
+    tests = sum(low >= LEAST_WORDS for low in BANDS) * len(RULES)
     seen: dict[tuple[int, str], np.ndarray] = {}
     for stratum, rule, at, good, n in histogram:
         seen.setdefault((stratum, rule), np.zeros((2, GRID + 1), np.int64))[good, at] += n
@@ -207,11 +208,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, risk: float = RISK, failure: fl
     """Counts, base rule and verdict of every document."""
     feats = settled(features(docs))
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("good"))
-    bins = feats.join(marked, "doc_id").select(_stratum(F.col("n_words")).alias("stratum"), "good", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in _shares().items()))).alias("x"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    # What the base rule rejects is neither gained nor lost by a cutoff.
+    bins = feats.where(~failed).join(marked, "doc_id").select(_stratum(F.col("n_words")).alias("stratum"), "good", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), _bin(v).alias("bin")) for k, v in _shares().items()))).alias("x"))
     counts = bins.groupBy("stratum", "x.rule", "x.bin", "good").count().collect()
     cutoffs = certified([(r["stratum"], r["rule"], r["bin"], int(r["good"] > 0), r["count"]) for r in counts], risk, failure)
     rejected = F.lit(False)
     for (stratum, rule), (cut, _) in sorted(cutoffs.items()):
         rejected = rejected | ((_stratum(F.col("n_words")) == stratum) & (_bin(_shares()[rule]) > cut))
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return feats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~rejected).alias("kept"))

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -42,6 +43,57 @@ def test_no_uncertified_cutoff():
 
 def test_nested_cutoffs_cost_no_confidence():
     rule = [(1, "symbol_share", 50, 0, 500)]
-    (cut, bound) = quality.certified([*rule, (1, "symbol_share", 0, 1, 1151)])[1, "symbol_share"]
+    (cut, bound) = quality.certified([*rule, (1, "symbol_share", 0, 1, 1094)])[1, "symbol_share"]
     assert cut == 0 and bound <= quality.RISK / len(quality.RULES)
-    assert not quality.certified([*rule, (1, "symbol_share", 0, 1, 1150)])
+    assert not quality.certified([*rule, (1, "symbol_share", 0, 1, 1093)])
+
+
+def by_hand(rows, marks, risk, failure):
+    """kept of every document: cutoffs tried one by one from the loosest, on exact
+    binomial tails."""
+    from math import comb
+
+    good = {}
+    for d, q in marks:
+        if q is not None and d is not None:
+            good[d] = max(good.get(d, 0), q)
+    shares = {d: {"symbol_share": r["n_symbols"] / max(1, r["word_chars"]), "dup_line_share": r["n_dup_lines"] / r["n_lines"], "repeat_share": r["n_repeat_words"] / max(1, r["n_words"]), "short_word_share": max(0.0, 1 - r["word_chars"] / max(1, r["n_words"]) / 12)} for d, r in rows.items()}
+    band = {d: max(i for i, low in enumerate(quality.BANDS) if r["n_words"] >= low) for d, r in rows.items()}
+    tail = lambda k, n, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    tests = (len(quality.BANDS) - 1) * len(quality.RULES)
+    failed = {d: r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"] for d, r in rows.items()}
+    over = lambda x, cut: x > (cut + 1) / quality.GRID + 1e-12
+    cuts = {}
+    for b in range(len(quality.BANDS)):
+        for rule in quality.RULES:
+            yes = [shares[d][rule] for d in rows if band[d] == b and good.get(d) == 1 and not failed[d]]
+            no = [shares[d][rule] for d in rows if band[d] == b and good.get(d) == 0 and not failed[d]]
+            best = 0
+            for cut in reversed(range(quality.GRID)):
+                lost, caught = sum(over(x, cut) for x in yes), sum(over(x, cut) for x in no)
+                # The bound stays below the risk if so few would be lost with less chance than failure.
+                if not yes or tail(lost, len(yes), risk / len(quality.RULES)) > failure / tests:
+                    break
+                gain = caught - quality.GOOD_WEIGHT * lost
+                if gain > 0 and gain >= best:
+                    best, cuts[b, rule] = gain, cut
+    return {d: not failed[d] and not any(b == band[d] and over(shares[d][rule], cut) for (b, rule), cut in cuts.items()) for d in rows}, cuts
+
+
+def test_kept_against_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9)))
+    docs, marks = [], []
+    for i in range(900):
+        bad = i % 6 == 0
+        ws = [word() + (r.choice("#$%&") * r.randrange(1, 4) if bad and r.random() < 0.8 or r.random() < 0.01 else "") for _ in range(r.randrange(40, 120))]
+        docs.append((i, " ".join(ws)))
+        marks.append((i, None if i % 11 == 0 else int(not bad), 0))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([*marks, (3, 0, 1), (None, 1, 1), (5000, 0, 0)], "doc_id long, quality int, toxic int")
+    feats = {x["doc_id"]: x for x in quality.features(df).collect()}
+    want, cuts = by_hand(feats, [(d, q) for d, q, _ in marks] + [(3, 0)], 0.2, 0.2)
+    got = {x["doc_id"]: x["kept"] for x in quality.verdicts(df, labels, 0.2, 0.2).collect()}
+    assert cuts and got == want
+    failed = {x["doc_id"] for x in quality.verdicts(df, labels, 0.2, 0.2).collect() if x["base_failed"]}
+    assert 50 < sum(not k for d, k in got.items() if d not in failed) < 200
