@@ -7,7 +7,7 @@ to the other, at random but unbiased, until one of the two is settled, and the
 sum of (size x probability) stays what it was.  Larger documents are paired first,
 by powers of two of their sizes; what is left of a size is paired with all smaller
 documents taken as one, whose probabilities shift together.  So the last document
-left is a small one, and a source misses its target by less than its size.
+left is mostly a small one, and a source misses its target by less than its size.
 
 Documents are dealt to buckets by the hash of their id; a bucket is rounded on
 its own and leaves at most one unsettled document; those meet, FAN buckets at a
