@@ -9,8 +9,8 @@ its parts, so it has no arrays of its own.
 
 Anchors of a text are windows of WINDOW code points whose hash is the least among
 STRETCH neighbouring ones; any common span of LEAST code points holds a common
-anchor (in texts of more than LONG code points anchors are sparser).  A fingerprint is the text's length, its whole-text hash under both primes,
-and the SKETCH smallest hashes of its anchors.
+anchor, however long the texts are.  A fingerprint is the text's length, its whole-text
+hash under both primes, and the SKETCH smallest hashes of its anchors.
 
 Likeness of two texts is the share of their code points, counted in both, that
 stands in spans they have in common: every anchor of one that is an anchor of the
@@ -18,6 +18,8 @@ other is laid beside its first place there and extended to both sides as far as
 texts agree; spans of LEAST code points or more count.  Where one text is short, a
 quarter of its length is enough, and its anchors are all windows of FINE.  Equal
 texts have likeness 1, others less, and an empty text none with any other.
+Texts of more than LARGE code points are compared a step at a time: the anchors of
+the shorter of two are held, those of the longer pass by, with the same result.
 `likeness` estimates the same from two fingerprints alone.
 
 `neighbours` puts every document beside the next one in ascending order of id:
@@ -43,12 +45,14 @@ from siltstone.llm.common import code_points, lean, utf8, windows
 WINDOW, STRETCH, SKETCH = 12, 12, 32
 #: Common code points that count, and the windows of texts that are too short for them.
 LEAST, FINE = WINDOW + STRETCH - 1, 3
-#: Code points from which on anchors are sparser, so that an index is little beside its text.
-LONG = 1 << 20
+#: Code points from which on anchors are sparser, for callers that set it lower: Spark has no text so long.
+LONG = 1 << 31
+#: Code points from which on texts are looked at step by step; results don't depend on it.
+LARGE = 1 << 20
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (911_382_323, 972_663_749)
-#: Bytes of text of a batch, and places that one step looks at.
-BATCH, STEP = 1 << 18, 1 << 19
+#: Code points of a batch, those that a row counts for at least, and places that one step looks at.
+BATCH, ROW, STEP = 1 << 18, 16, 1 << 19
 #: Places between the first and the last of a step whose windows are hashed together, at most.
 SHARED = 2 * STEP
 U = np.uint64
@@ -165,15 +169,25 @@ class Texts:
         return low
 
     def anchors(self, text: np.ndarray | None = None, window: int = WINDOW) -> Anchors:
-        """The anchors of some texts, or all.  In texts of more than LONG code points
-        twice, four times, ... as many windows compete; what is least among more is
-        least among fewer, so texts of any two lengths share anchors."""
-        text = np.arange(len(self)) if text is None else text
+        """The anchors of some texts, or of all but the large ones."""
+        text = np.flatnonzero(self.n <= LARGE) if text is None else text
+        wide = self._stretch(text, window)
+        found = [f for s in np.unique(wide).tolist() for f in self._found(text[wide == s], window, s)]
+        return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True)), len(self)) if found else Anchors(*NONE, len(self))
+
+    def steps(self, text: int, window: int = WINDOW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places and hashes of the anchors of one text, a step at a time."""
+        one = np.array([text])
+        for _, place, h in self._found(one, window, int(self._stretch(one, window)[0])):
+            yield place, h
+
+    def _stretch(self, text: np.ndarray, window: int) -> np.ndarray:
+        """Windows that compete: in texts of more than LONG code points twice, four
+        times, ... as many; what is least among more is least among fewer, so texts
+        of any two lengths share anchors."""
         if window == FINE:
-            return Anchors(*self._found(text, FINE, 1), len(self))
-        wide = STRETCH << np.ceil(np.log2(np.maximum(1, self.n[text] / LONG))).astype(np.int64)
-        found = [self._found(text[wide == s], window, s) for s in np.unique(wide).tolist()] or [self._found(text, window, STRETCH)]
-        return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True)), len(self))
+            return np.ones(len(text), np.int64)
+        return STRETCH << np.ceil(np.log2(np.maximum(1, self.n[text] / LONG))).astype(np.int64)
 
     def _windows(self, text: np.ndarray, place: np.ndarray, window: int) -> np.ndarray:
         """Scrambled hashes of the windows at places of texts; a text that is shorter
@@ -190,12 +204,11 @@ class Texts:
         h[few] = _scrambled(self.spans(text[few], place[few], np.minimum(place[few] + window, self.n[text[few]])))
         return h
 
-    def _found(self, text: np.ndarray, window: int, stretch: int) -> tuple[np.ndarray, ...]:
-        """A text with fewer windows than compete has the least one, a shorter one
-        itself."""
+    def _found(self, text: np.ndarray, window: int, stretch: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Texts, places and hashes, a step at a time.  A text with fewer windows than
+        compete has the least one, a shorter one itself."""
         counts = np.maximum(1, self.n[text] - window + 1)
         heads = np.concatenate(([0], np.cumsum(counts)))
-        found: list[tuple[np.ndarray, ...]] = []
         for a in range(0, int(heads[-1]), STEP):
             # Each step looks as far beyond its ends as windows compete.
             lo, hi = max(0, a - stretch + 1), min(int(heads[-1]), a + STEP + stretch - 1)
@@ -205,25 +218,26 @@ class Texts:
             place, here = at - heads[k], text[k]
             h = self._windows(here, place, window)
             keep = _least(h, k, np.minimum(stretch, counts[k]), stretch) & (at >= a) & (at < a + STEP) & (self.n[here] > 0)
-            found.append((here[keep], place[keep], h[keep]))
-        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, (np.int64, np.int64, U)[i]) for i in range(3))
+            yield here[keep], place[keep], h[keep]
+
+
+NONE = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
 
 
 class Anchors:
     """Texts, places and scrambled hashes of anchors, in order of text and hash and,
     within a hash, place."""
 
-    #: Bits of a key that hold the hash; above them stands the text.
-    BITS = 48
-
     def __init__(self, text: np.ndarray, place: np.ndarray, h: np.ndarray, n_texts: int):
+        # Bits of a key that hold the hash; above them stands the text.
+        self.bits = min(48, 64 - max(1, n_texts - 1).bit_length())
         by = np.argsort(self._key(text, h), kind="stable")
         self.text, self.place, self.h = text[by], place[by], h[by]
         self.key = self._key(self.text, self.h)
         self.first = np.searchsorted(self.text, np.arange(n_texts + 1))
 
     def _key(self, text: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return text.astype(U) << U(self.BITS) | h >> U(64 - self.BITS)
+        return text.astype(U) << U(self.bits) | h >> U(64 - self.bits)
 
     def of(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the anchors of texts, and which text (of the list) each is of."""
@@ -281,10 +295,25 @@ def _covered(texts: Texts, one: np.ndarray, two: np.ndarray, least: np.ndarray,
     mine, pair = anchors.of(one)
     other = anchors.find(two[pair], anchors.h[mine])
     hit = np.flatnonzero(other >= 0)
-    pair, i, j = pair[hit], anchors.place[mine[hit]], anchors.place[other[hit]]
+    pair, low, high = _spans(texts, one, two, least, pair[hit], anchors.place[mine[hit]], anchors.place[other[hit]])
     out = np.zeros(len(one), np.int64)
-    if not len(hit):
+    if not len(pair):
         return out
+    by = np.lexsort((low, pair))
+    pair, low, high = pair[by], low[by], high[by]
+    # Union of spans: what each adds beyond the furthest end before it, in its pair.
+    span = int(texts.n.max()) + 1
+    ends = np.maximum.accumulate(high + pair * span)
+    before = np.concatenate(([0], ends[:-1])) - pair * span
+    np.add.at(out, pair, np.maximum(0, high - np.maximum(low, before)))
+    return out
+
+
+def _spans(texts: Texts, one: np.ndarray, two: np.ndarray, least: np.ndarray, pair: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Pairs and ends (in texts `one`) of the spans in common that hold place i of
+    text `one` and j of `two` of a pair."""
+    if not len(pair):
+        return pair, i, i
     # Anchors that lie alike in both, with nothing different between, are one span;
     # only its ends are searched.
     by = np.lexsort((i, i - j, pair))
@@ -299,32 +328,79 @@ def _covered(texts: Texts, one: np.ndarray, two: np.ndarray, least: np.ndarray,
     low = i[head] - texts.extension(one[pair], i[head], two[pair], j[head], True)
     high = i[tail] + texts.extension(one[pair], i[tail], two[pair], j[tail])
     ok = np.flatnonzero(high - low >= least[pair])
-    if not len(ok):
-        return out
-    pair, low, high = pair[ok], low[ok], high[ok]
-    by = np.lexsort((low, pair))
-    pair, low, high = pair[by], low[by], high[by]
-    # Union of spans: what each adds beyond the furthest end before it, in its pair.
-    span = int(texts.n.max()) + 1
-    ends = np.maximum.accumulate(high + pair * span)
-    before = np.concatenate(([0], ends[:-1])) - pair * span
-    np.add.at(out, pair, np.maximum(0, high - np.maximum(low, before)))
-    return out
+    return pair[ok], low[ok], high[ok]
+
+
+class Union:
+    """Spans of one text, any two of which may overlap, kept apart and in order."""
+
+    def __init__(self):
+        self.low = self.high = np.zeros(0, np.int64)
+
+    def add(self, low: np.ndarray, high: np.ndarray) -> None:
+        if not len(low):
+            return
+        low, high = np.concatenate((self.low, low)), np.concatenate((self.high, high))
+        by = np.argsort(low, kind="stable")
+        low, high = low[by], np.maximum.accumulate(high[by])
+        new = np.flatnonzero(np.concatenate(([True], low[1:] > high[:-1])))
+        self.low, self.high = low[new], high[np.concatenate((new[1:], [len(low)])) - 1]
+
+    def size(self) -> int:
+        return int((self.high - self.low).sum())
+
+
+def _in_steps(texts: Texts, one: int, two: int, least: int, window: int) -> int:
+    """Code points of both texts of a pair within spans in common.  Only the distinct
+    anchors of the shorter text are held; of the longer one, their first places."""
+    if texts.n[one] > texts.n[two]:
+        one, two = two, one
+    parts = []
+    for place, h in texts.steps(one, window):
+        keys, first = np.unique(h, return_index=True)
+        parts.append((keys, place[first].astype(np.int32)))
+    h, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    keys, first = np.unique(h, return_index=True)
+    place, there = place[first], np.full(len(keys), -1, np.int32)
+    del h, first
+
+    def spans(a: int, b: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        return _spans(texts, np.array([a]), np.array([b]), np.array([least]), np.zeros(len(i), np.int64), i, j)[1:]
+
+    longer, shorter = Union(), Union()
+    for i, h in texts.steps(two, window):
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        hit = keys[at] == h
+        at, i = at[hit], i[hit]
+        # Of places in this step the first is written last.
+        new = np.flatnonzero(there[at] < 0)[::-1]
+        there[at[new]] = i[new]
+        longer.add(*spans(two, one, i, place[at].astype(np.int64)))
+    for i, h in texts.steps(one, window):
+        j = there[np.searchsorted(keys, h)].astype(np.int64)
+        shorter.add(*spans(one, two, i[j >= 0], j[j >= 0]))
+    return longer.size() + shorter.size()
 
 
 def compared(texts: Texts, one: np.ndarray, two: np.ndarray, anchors: Anchors) -> np.ndarray:
-    """Likeness of pairs of texts, given the anchors of all."""
+    """Likeness of pairs of texts, given the anchors of all but the large ones."""
     out, whole = np.zeros(len(one)), texts.whole()
     n, m = texts.n[one], texts.n[two]
     same = (n == m) & (whole[one] == whole[two])
     out[same] = 1.0
     fine = np.minimum(n, m) // 4 < LEAST
+    leasts = np.clip(np.minimum(n, m) // 4, FINE, LEAST)
+    rest, large = ~same & (n > 0) & (m > 0), np.maximum(n, m) > LARGE
+    for at in np.flatnonzero(rest & large).tolist():
+        total = n[at] + m[at]
+        each = _in_steps(texts, int(one[at]), int(two[at]), int(leasts[at]), FINE if fine[at] else WINDOW)
+        out[at] = min(each, total - 0.5) / total
     for short in (False, True):
-        at = np.flatnonzero(~same & (n > 0) & (m > 0) & (fine == short))
+        at = np.flatnonzero(rest & ~large & (fine == short))
         if not len(at):
             continue
-        a, b = one[at], two[at]
-        least = np.clip(np.minimum(n[at], m[at]) // 4, FINE, LEAST)
+        a, b, least = one[at], two[at], leasts[at]
         own = texts.anchors(np.unique(np.concatenate((a, b))), FINE) if short else anchors
         # Both ways at once: what each has in common with the other.
         each = _covered(texts, np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((least, least)), own)
@@ -333,14 +409,20 @@ def compared(texts: Texts, one: np.ndarray, two: np.ndarray, anchors: Anchors) -
     return out
 
 
-def prints(texts: Texts, anchors: Anchors) -> list[str]:
+def prints(texts: Texts, anchors: Anchors, some: np.ndarray | None = None) -> list[str]:
+    """Fingerprints of some texts, or all, given the anchors of all but the large ones."""
     new = np.ones(len(anchors.h), bool)
     new[1:] = (anchors.h[1:] != anchors.h[:-1]) | (anchors.text[1:] != anchors.text[:-1])
     kept = np.flatnonzero(new)
     first = np.searchsorted(kept, anchors.first)
+    some = np.arange(len(texts)) if some is None else some
     out = []
-    for n, w, a, b in zip(texts.n.tolist(), texts.whole().tolist(), first.tolist(), first[1:].tolist(), strict=False):
-        out.append(f"{n:x}.{w:016x}.{anchors.h[kept[a : min(b, a + SKETCH)]].astype('>u8').tobytes().hex()}")
+    for i, n, w, a, b in zip(some.tolist(), texts.n[some].tolist(), texts.whole()[some].tolist(), first[some].tolist(), first[some + 1].tolist(), strict=True):
+        sketch = anchors.h[kept[a : min(b, a + SKETCH)]]
+        if n > LARGE:
+            for _, h in texts.steps(i):
+                sketch = np.unique(np.concatenate((sketch, h)))[:SKETCH]
+        out.append(f"{n:x}.{w:016x}.{sketch.astype('>u8').tobytes().hex()}")
     return out
 
 
@@ -431,9 +513,9 @@ def beside(own: list[str], following: list[str]) -> tuple[list[str], list[str],
     texts = Texts(base.hashes, np.concatenate((base.start, base.start[mine])), np.concatenate((base.n, n - cut)), np.concatenate((base.start, base.start[nxt])), np.concatenate((base.n, n - cut + np.minimum(cut, base.n[nxt]))))
     late = len(base) + np.arange(k)
     anchors = texts.anchors()
-    shown = prints(texts, anchors)
+    shown = prints(texts, anchors, np.concatenate((mine, late)))
     near = compared(texts, np.concatenate((mine, mine)), np.concatenate((late, nxt)), anchors)
-    return [shown[i] for i in mine], [shown[i] for i in late], near[:k], near[k:]
+    return shown[:k], shown[k:], near[:k], near[k:]
 
 
 def compare_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -463,7 +545,7 @@ def compare_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
         for row in pairs(batches):
-            more = len(row[1]) + len(row[2]) // 8
+            more = max(ROW, len(row[1]) + len(row[2]) // 8)
             if some and size + more > BATCH:
                 yield compare(some)
                 some, size = [], 0

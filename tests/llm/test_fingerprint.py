@@ -162,3 +162,51 @@ def test_windows_of_a_batch_are_those_of_its_texts(monkeypatch):
             for window in (fp.FINE, fp.WINDOW):
                 direct = fp._scrambled(some.spans(text, place, np.minimum(place + window, some.n[text])))
                 assert (some._windows(text, place, window) == direct).all()
+
+
+def test_results_do_not_depend_on_the_size_of_texts():
+    """Half of a text stands in another in spans of 30: as many are found in a text of
+    more than a million code points as in a shorter one."""
+    r = random.Random(1)
+    for n in (6000, (1 << 20) + 64_000):
+        a = "".join(map(chr, r.choices(range(0x4E00, 0x9000), k=n)))
+        b = "".join(a[i : i + 30] + "".join(map(chr, r.choices(range(0xA000, 0xD000), k=30))) for i in range(0, n, 60))
+        assert 0.499 < fp.common(a, b) < 0.501
+
+
+def test_steps_find_what_one_look_finds(monkeypatch):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9))) for _ in range(40)]
+    texts = ["", "ab", "abcd", "x" * 200, "ab" * 90, "c" * 3]
+    for n in (1, 8, 20, 80, 150, 400):
+        t = " ".join(r.choice(words) for _ in range(n))
+        texts += [t, t[len(t) // 3 :] + t[: len(t) // 3], t[: len(t) // 2] + "o" + t[len(t) // 2 + 1 :], t[:30] * 3]
+    r.shuffle(texts)
+    for following in ([*texts[1:], texts[0]], texts[::-1]):
+        want = fp.beside(texts, following)
+        assert np.allclose(want[3], [brute(t, u) for t, u in zip(texts, following, strict=True)])
+        for large, step in ((100, fp.STEP), (0, 512)):
+            with monkeypatch.context() as m:
+                m.setattr(fp, "LARGE", large)
+                m.setattr(fp, "STEP", step)
+                fp._table.cache_clear()
+                got = fp.beside(texts, following)
+            assert got[:2] == want[:2] and all((x == y).all() for x, y in zip(got[2:], want[2:], strict=True))
+    fp._table.cache_clear()
+
+
+def test_very_many_texts_in_a_batch():
+    r = random.Random(7)
+    own = [f"text {i:06d}"[-r.randrange(8) :] for i in range(40_000)]
+    following = [*own[1:], own[0]]
+    whole, a = fp.beside(own, following), 39_000
+    some = fp.beside(own[a:], following[a:])
+    assert [x[a:] for x in whole[:2]] == list(some[:2]) and all((x[a:] == y).all() for x, y in zip(whole[2:], some[2:], strict=True))
+
+
+def test_fingerprints_of_some_texts_are_those_of_all(monkeypatch):
+    texts = fp.of(["", "a few words " * 9, "others, and more of them " * 20])
+    want = fp.prints(texts, texts.anchors())
+    monkeypatch.setattr(fp, "LARGE", 300)
+    assert fp.prints(texts, texts.anchors()) == want
+    assert fp.prints(texts, texts.anchors(), np.array([2, 0])) == [want[2], want[0]]
